@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from clustrel.llm import quality_rules
+from clustrel.llm import line_dedup, mixing, packing, quality_rules
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op10_packing": packing.op10_packing,
 }
 ORACLE_SQL = {
+    "op1_mixing": mixing.OP1_SQL,
+    "op5_line_dedup": line_dedup.OP5_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
 }
