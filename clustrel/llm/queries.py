@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from clustrel.llm import line_dedup, mixing, packing, quality_rules, token_counts
+from clustrel.llm import line_dedup, mixing, packing, quality_rules, secrets, token_counts
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_secrets": secrets.op3_secrets,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
     "op8_quality_rules": quality_rules.op8_quality_rules,
