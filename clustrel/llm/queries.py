@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from clustrel.llm import line_dedup, mixing, packing, quality_rules, secrets, token_counts
+from clustrel.llm import line_dedup, mixing, packing, quality_model, quality_rules, secrets, token_counts
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_secrets": secrets.op3_secrets,
+    "op4_quality_model": quality_model.op4_quality_model,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
     "op8_quality_rules": quality_rules.op8_quality_rules,
