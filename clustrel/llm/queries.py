@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from clustrel.llm import line_dedup, mixing, packing, quality_model, quality_rules, secrets, token_counts
+from clustrel.llm import jaccard_join, line_dedup, mixing, packing, quality_model, quality_rules, secrets, token_counts
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_secrets": secrets.op3_secrets,
     "op4_quality_model": quality_model.op4_quality_model,
     "op5_line_dedup": line_dedup.op5_line_dedup,
