@@ -5,14 +5,15 @@ in the same band or in neighbouring ones, and each band, with the next, is a til
 sets differ by at most H elements; the hash range is cut into H + 1 + e segments, so that at least e + 1
 segments agree wholly. A set is filed in its tiles under each of its non-empty segments (and, in the rare case
 that it has more than e empty ones, under those), so linked sets always share a file, while a passage that
-many documents share fills no segment by itself. Pairs from a file are compared by bitmaps of parities: each
-bit that differs stands for an element that only one set has, which bounds the overlap from above. What
-remains is decided by the exact intersection of the sorted arrays.
+many documents share fills no segment by itself.
 
-Within a file only the first few sets are paired with all others. Where a larger file still spans several
-components, further rounds pair the members of its smaller components, ever more of them a round, until every
-pair that could join two components has been decided. So no file's pairs are all emitted unless the sets in it
-really are unlike, and no link between components is lost.
+Sets joined by files, at any remove, form a cluster: links stay within clusters. The texts of a cluster meet in
+one task where they are few. Larger clusters are cut into blocks of one band of sizes and a bounded number of
+shingles, and each pair of blocks of the same or neighbouring bands meets in a task of its own. There, bitmaps
+of parities are compared whole arrays at a time: each bit that differs stands for an element that only one
+set has, which bounds the overlap from above. What remains is decided by the exact intersection of the sorted
+arrays, but for pairs that links found before already join. So no pairs are emitted but links, fewer than a
+task has sets, and no link between components is lost.
 
 Shingles are known by 64-bit hashes, classes by 128 bits. Edge cases: a text without words, or null, has no
 shingles and no links; a text with fewer words than a shingle is one shingle; rows without an id get their
@@ -33,8 +34,8 @@ from clustrel.llm import hashing
 from clustrel.llm.common import documents, stored
 from clustrel.llm.components import components
 
-#: Sets of a file that are paired with all its others in the first round; eight times as many in each further one.
-PIVOTS = 8
+#: Most sets and shingles of a block; a task holds two blocks.
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 1 << 21
 BITS = 2048
 _SALT, _OTHER, _TILE, _EMPTY = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
@@ -119,126 +120,132 @@ def filed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, c1 long, c2 long, keys array<long>")
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (key, c) in order: those of keys with several different c, once each, numbered within the key. Holds one row between batches."""
-    key = last = None
-    rank, waiting = 0, False
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (key, c) in order: an edge from each key's first c to each other. Holds one row between batches."""
+    key = head = None
     for b in batches:
         k, c = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
         if not len(k):
             continue
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-        new[0] = key is None or k[0] != key or c[0] != last
-        k, c = k[new], c[new]
-        if not len(k):
+        new = np.append(key is None or k[0] != key, k[1:] != k[:-1])
+        first = np.flatnonzero(new)
+        heads = np.repeat(c[first], np.diff(np.append(first, len(k))))
+        lead = first[0] if len(first) else len(k)
+        if lead:
+            heads = np.append(np.full(lead, head, np.int64), heads)
+        key, head = k[-1], heads[-1]
+        edges = np.unique(np.stack([heads, c], axis=1)[heads != c], axis=0)
+        if len(edges):
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+
+
+class _Sets:
+    """The sets of a block: ids, sizes ascending, bitmaps and arrays."""
+
+    def __init__(self, rows: list[tuple[int, int, int, str]], k: int) -> None:
+        held = {}
+        for rep, w1, w2, text in rows:
+            x = hashing.shingles((text or "").encode("utf-8", "surrogatepass"), k)
+            if set_id(x) == (w1, w2):  # else another row of the same id, of another class
+                held[rep] = x
+        held = dict(sorted(held.items(), key=lambda r: (len(r[1]), r[0])))
+        self.ids, self.arrays = list(held), list(held.values())
+        self.sizes = np.array([len(x) for x in self.arrays], np.int64)
+        self.bits = np.frombuffer(b"".join(map(bitmap, self.arrays)), np.uint64).reshape(len(self.ids), BITS // 64)
+
+
+def _link(one: _Sets, two: _Sets | None, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Links between two blocks, or within one, that join what those before have not."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    other = two or one
+    for i, x in enumerate(one.arrays):
+        n = len(x)
+        lo = i + 1 if two is None else int(np.searchsorted(other.sizes, -(-num * n // den)))
+        hi = int(np.searchsorted(other.sizes, den * n // num, side="right"))
+        if lo >= hi:
             continue
-        if waiting:
-            k, c = np.append(key, k), np.append(last, c)
-        base = rank + 1 if not waiting and key is not None and k[0] == key else 0
-        first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        sizes = np.diff(np.append(first, len(k)))
-        r = np.arange(len(k)) - np.repeat(first, sizes)
-        r[: sizes[0]] += base
-        many = np.repeat(sizes, sizes) > 1
-        many[: sizes[0]] |= base > 0
-        key, last, rank, waiting = k[-1], c[-1], int(r[-1]), not many[-1]
-        if many.any():
-            yield pa.RecordBatch.from_arrays([pa.array(k[many]), pa.array(c[many]), pa.array(r[many].astype(np.int64))], ["key", "c", "rank"])
-
-
-def _sets(texts: DataFrame, k: int) -> DataFrame:
-    """rep, c1, c2, n, bits, hashes of texts(rep, w1, w2, text), where the text still is of class (w1, w2)."""
+        m = other.sizes[lo:hi]
+        apart = np.bitwise_count(other.bits[lo:hi] ^ one.bits[i]).sum(axis=1, dtype=np.int64)
+        most = (m + n - apart) // 2
+        for j in (np.flatnonzero(den * most >= num * (m + n - most)) + lo).tolist():
+            a, b = find(one.ids[i]), find(other.ids[j])
+            if a == b:
+                continue
+            y = other.arrays[j]
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            inter = int((y[at] == x).sum())
+            if den * inter >= num * (n + len(y) - inter):
+                root[max(a, b)] = min(a, b)
+                yield one.ids[i], other.ids[j]
+
+
+def _tiles(members: DataFrame, num: int, den: int) -> DataFrame:
+    """members(cluster, rep, w1, w2, n) with the tiles in which each is needed: tile, and block, its place there."""
+    shape = Tiles(num, den)
+    shape.reach(1 << 40)
+    band = F.size(F.filter(F.array(*(F.lit(x).cast("long") for x in shape.starts)), lambda x: x <= F.col("n")))
+    members = members.withColumn("band", band)
+    parts = lambda sets, shingles: F.greatest(F.ceil(sets / BLOCK_SETS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+    per = members.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
+    per = per.withColumn("parts", parts(F.col("sets"), F.col("shingles")))
+    per = per.groupBy("cluster").agg(parts(F.sum("sets"), F.sum("shingles")).alias("all"), F.map_from_entries(F.collect_list(F.struct("band", "parts"))).alias("by_band"))
+    x = members.join(per, "cluster")
+    block = lambda b, p: F.format_string("%03d.%09d", b, p)
+    mine = F.pmod(F.xxhash64("rep"), F.element_at("by_band", F.col("band"))).cast("int")
+    x = x.withColumn("block", F.when(F.col("all") == 1, F.lit("")).otherwise(block(F.col("band"), mine)))
+    near = F.flatten(F.transform(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1), lambda b: F.when(
+        F.map_contains_key("by_band", b), F.transform(F.sequence(F.lit(0), F.element_at("by_band", b) - 1), lambda p: block(b, p))
+    ).otherwise(F.array().cast("array<string>"))))
+    pair = lambda o: F.concat_ws("/", F.col("cluster").cast("string"), F.least("block", o), F.greatest("block", o))
+    tiles = F.when(F.col("all") == 1, F.array(F.col("cluster").cast("string"))).otherwise(F.transform(near, pair))
+    return x.select("rep", "w1", "w2", "block", F.explode(tiles).alias("tile"))
+
+
+def _compared(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The links of rows(tile, block, rep, w1, w2, text), which come in order of tile."""
+
+    def close(held: list[tuple]) -> list[tuple[int, int]]:
+        blocks = sorted({r[0] for r in held})
+        sets = [_Sets([r[1:] for r in held if r[0] == b], k) for b in blocks]
+        return list(_link(sets[0], sets[1] if len(sets) > 1 else None, num, den))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held, links = None, [], []
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["ra", "rb"])
         for b in batches:
-            rows = []
-            for rep, w1, w2, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                x = hashing.shingles((text or "").encode("utf-8", "surrogatepass"), k)
-                if set_id(x) == (w1, w2):
-                    rows.append((rep, w1, w2, len(x), bitmap(x), x.tobytes()))
-            types = [pa.int64()] * 4 + [pa.binary()] * 2
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["rep", "c1", "c2", "n", "bits", "hashes"])
-
-    return texts.mapInArrow(run, "rep long, c1 long, c2 long, n long, bits binary, hashes binary")
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """ra, rb: of pairs(a, b) of classes, those that link, by their representatives."""
-    light = sets.select("c1", "rep", "n", "bits")
-    as_ = lambda df, s, *cols: df.select(*(F.col(c).alias(c + s) for c in cols))
-    x = pairs.join(as_(light, "_a", "c1", "rep", "n", "bits"), F.col("a") == F.col("c1_a")).join(as_(light, "_b", "c1", "rep", "n", "bits"), F.col("b") == F.col("c1_b"))
-    x = x.where((F.col("rep_a") != F.col("rep_b")) & (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")))
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                ra, rb, na, nb = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-                bits = [np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(len(ra), -1) for i in (4, 5)]
-                apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
-                overlap = (na + nb - apart) // 2
-                may = den * overlap >= num * (na + nb - overlap)
-                yield pa.RecordBatch.from_arrays([pa.array(ra[may]), pa.array(rb[may])], ["ra", "rb"])
-
-    near = x.select("rep_a", "rep_b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bound, "ra long, rb long")
-    full = sets.select("rep", "hashes")
-    y = near.join(as_(full, "_a", "rep", "hashes"), F.col("ra") == F.col("rep_a")).join(as_(full, "_b", "rep", "hashes"), F.col("rb") == F.col("rep_b"))
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for p, q in zip(b.column(2), b.column(3), strict=True):
-                s, t = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-                inter = int((t[at] == s).sum())
-                keep.append(den * inter >= num * (len(s) + len(t) - inter))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["ra", "rb"])
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[0] != tile:
+                    links += close(held) if held else []
+                    tile, held = row[0], []
+                held.append(row[1:])
+            yield out()
+            links = []
+        links += close(held) if held else []
+        yield out()
 
-    return y.select("ra", "rb", "hashes_a", "hashes_b").mapInArrow(exact, "ra long, rb long")
+    ordered = rows.repartition("tile").sortWithinPartitions("tile").select("tile", "block", "rep", "w1", "w2", "text")
+    return ordered.mapInArrow(run, "ra long, rb long")
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of docs(doc_id, text): links at a Jaccard similarity of num / den or more of shingles of k words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(filed(docs, k, num, den), "filed")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     entries = rows.select(F.explode("keys").alias("key"), F.col("c1").alias("c"))
-    shared = stored(entries.repartition("key").sortWithinPartitions("key", "c").mapInArrow(_shared, "key long, c long, rank long"), "shared")
-    wanted = shared.select("c").distinct().join(classes, F.col("c") == F.col("c1"), "inner").select("rep", F.col("c1").alias("w1"), F.col("c2").alias("w2"))
-    sets = stored(_sets(docs.join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "w1", "w2", "text"), k).dropDuplicates(["rep"]), "sets")
-
-    first = shared.where(F.col("rank") < PIVOTS).select("key", F.col("c").alias("a"), F.col("rank").alias("r"))
-    pairs = stored(first.join(shared, "key").where("rank > r").select("a", F.col("c").alias("b")).distinct(), "pairs")
-    links = stored(_linked(pairs, sets, num, den), "links")
+    stars = entries.repartition("key").sortWithinPartitions("key", "c").mapInArrow(_stars, "a long, b long")
+    clusters = components(stars)
+    members = classes.join(clusters, F.col("c1") == F.col("node")).select(F.col("component").alias("cluster"), "rep", F.col("c1").alias("w1"), F.col("c2").alias("w2"), "n")
+    tiles = stored(_tiles(stored(members, "members"), num, den), "tiles")
+    links = stored(_compared(docs.join(tiles, F.col("doc_id") == F.col("rep")), k, num, den), "links")
     found = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-
-    # Files too large for the first round: pair the members of their smaller components, until none spans two.
-    large = shared.join(shared.where(F.col("rank") > PIVOTS).select("key").distinct(), "key").select("key", "c")
-    reps = sets.select(F.col("c1").alias("c"), "rep")
-    pivots = PIVOTS
-    while True:
-        if large.isEmpty():
-            break
-        pivots *= 8
-        at = large.join(reps, "c").join(found, F.col("rep") == F.col("node"), "left").select("key", "c", F.coalesce("component", "rep").alias("comp"))
-        per = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("held"))
-        open_ = per.join(per.groupBy("key").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1"), "key").select("key", "comp", "held")
-        from pyspark.sql import Window
-
-        order = Window.partitionBy("key").orderBy("held", "comp", "c")
-        ranked = stored(at.join(open_, ["key", "comp"]).withColumn("rank", F.row_number().over(order)), "ranked")
-        head = ranked.where(F.col("rank") <= pivots).select("key", F.col("c").alias("x"), F.col("comp").alias("cx"), F.col("rank").alias("r"))
-        more = head.join(ranked, "key").where("rank > r and comp <> cx").select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")).distinct()
-        more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
-        pairs = pairs.unionByName(more)
-        links = links.unionByName(stored(_linked(more, sets, num, den), "links"))
-        found = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        large = ranked.select("key", "c")
-
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("comp"))
     own = rows.select("doc_id", F.col("n").alias("n_shingles"), "c1", "c2")
     out = own.join(named, ["c1", "c2"], "left")

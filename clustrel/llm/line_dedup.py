@@ -8,7 +8,7 @@ windows, go. Only DataFrame functions are used.
 Edge cases: a null text stays null; a text of fewer than three lines with words has no window and stays;
 a text whose lines are all covered becomes an empty one; lines without words stay; rows that share an id are
 one document, cleaned alike; rows without an id pass unchanged; an empty table stays empty; other columns pass
-through, in any name.
+through, but for those named as the columns that are added.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     with very many places isn't gathered, and the join of the windows with the repeated ones is
     left to adaptive skew splitting.
     """
-    own = docs.columns
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     hits = later(windows(docs.select("doc_id", "text"))).withColumnRenamed("doc_id", "hit")
     boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col("doc_id").alias("id"))
     x = boxed.join(hits, F.col("id") == F.col("hit"), "left").withColumn("ls", _lines(F.col("row.text")))
@@ -64,10 +64,11 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """docs with the text cleaned and n_chars, where there is one, counted again; texts that lost all lines go."""
-    boxed = dedup(docs.select("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_removed")]))
+    own = docs.columns
+    boxed = dedup(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in own)).alias("all")))
     boxed = boxed.where((F.col("n_removed") == 0) | F.col("text").rlike(_WORD))
-    cols = [F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return boxed.select(*cols)
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return boxed.select(*(new.get(c, F.col(f"all.`{c}`")).alias(c) for c in own))
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

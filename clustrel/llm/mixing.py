@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clustrel.llm.common import documents, n_words
+from clustrel.llm.common import documents, n_words, stored, words
 
 BUCKETS = 1 << 14
 
@@ -78,6 +78,7 @@ def mix(sized: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5
             F.max_by(F.struct("bucket", "before"), F.when(F.col("before") <= F.col("budget"), F.col("bucket"))).alias("end"),
         )
     )
+    ends = stored(ends, "ends")  # one row per source, of a size known from here on: broadcast where it is small
     rows = keyed.join(ends, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     edge = F.col("bucket") == F.col("end.bucket")
     within = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,30 +90,27 @@ def mix(sized: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: a row for each whole epoch, and one for a part, cut to its first words."""
-    size = n_words(F.col("text"))
+    """docs as the mix takes them: a row for each whole epoch, and one for a part, cut to its first words.
+
+    Texts stay where they are read: only sums by source and bucket, and the rows of the buckets in which a
+    budget ends, are shuffled.
+    """
     own = docs.columns
-    boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), "doc_id", "source", "text").withColumn("size", size)
-    boxed = boxed.withColumn("weight", quality_weight(F.col("text"), F.col("size")))
-    # The rows are dealt once by id; the mix itself moves only ids, sources and sizes.
-    mixed = mix(boxed.select("doc_id", "source", "size", "weight")).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
-    on = boxed["doc_id"].eqNullSafe(mixed["doc_id"]) & boxed["source"].eqNullSafe(mixed["source"]) & (boxed["size"] == mixed["size"])
-    rows = boxed.drop("weight").join(mixed, on).select("row", "taken", boxed["size"])
+    boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"))
+    boxed = boxed.withColumn("weight", quality_weight(F.col("row.text"), F.col("size")))
+    rows = mix(boxed).where("taken > 0")
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
     rows = rows.select("row", "size", F.explode(F.transform(F.sequence(F.lit(0), copies - 1), lambda i: F.least(F.col("size"), F.col("taken") - i * F.col("size")))).alias("part"))
-    from clustrel.llm.common import words
-
     text = F.when(F.col("part") == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.slice(words(F.col("row.text")), 1, F.col("part").cast("int")), " "))
-    cols = [F.col(f"row.`{c}`") if c not in ("text", "n_chars") else (text if c == "text" else F.char_length(text).cast("long")).alias(c) for c in own]
-    return rows.select(*cols)
+    rows = rows.withColumn("cut", text)
+    new = {"text": F.col("cut"), "n_chars": F.char_length("cut").cast("long")}
+    return rows.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in own))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     """What a mix of all documents takes of each."""
     docs = documents(spark, sf_dir).select("doc_id", "source", "text").withColumn("size", n_words(F.col("text")))
     sized = docs.withColumn("weight", quality_weight(F.col("text"), F.col("size"))).drop("text")
-    from clustrel.llm.common import stored
-
     return mix(stored(sized, "mix")).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
 
