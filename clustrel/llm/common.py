@@ -42,6 +42,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def filtered(df: DataFrame, keep: Column) -> DataFrame:
+    """The rows of df that keep is true of, tested on computed columns as they are.
+
+    A plain filter would be pushed below the projections that make the columns, with their expressions put in
+    its place, and lambdas would then evaluate whole arrays once per element.
+    """
+    fence = "__fence"
+    return df.withColumn(fence, F.monotonically_increasing_id()).where(keep & (F.col(fence) >= 0)).drop(fence)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

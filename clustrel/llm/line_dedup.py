@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clustrel.llm.common import documents
+from clustrel.llm.common import documents, filtered
 
 SPAN = 3
 _WORD = r"[^\x20\x09-\x0D]"
@@ -66,7 +66,7 @@ def clean(docs: DataFrame) -> DataFrame:
     """docs with the text cleaned and n_chars, where there is one, counted again; texts that lost all lines go."""
     own = docs.columns
     boxed = dedup(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in own)).alias("all")))
-    boxed = boxed.where((F.col("n_removed") == 0) | F.col("text").rlike(_WORD))
+    boxed = filtered(boxed, (F.col("n_removed") == 0) | F.col("text").rlike(_WORD))
     new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
     return boxed.select(*(new.get(c, F.col(f"all.`{c}`")).alias(c) for c in own))
 

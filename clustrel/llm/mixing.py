@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clustrel.llm.common import documents, n_words, stored, words
+from clustrel.llm.common import documents, filtered, n_words, stored, words
 
 BUCKETS = 1 << 14
 
@@ -98,7 +98,7 @@ def apply_mix(docs: DataFrame) -> DataFrame:
     own = docs.columns
     boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"))
     boxed = boxed.withColumn("weight", quality_weight(F.col("row.text"), F.col("size")))
-    rows = mix(boxed).where("taken > 0")
+    rows = filtered(mix(boxed), F.col("taken") > 0)
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
     rows = rows.select("row", "size", F.explode(F.transform(F.sequence(F.lit(0), copies - 1), lambda i: F.least(F.col("size"), F.col("taken") - i * F.col("size")))).alias("part"))
     text = F.when(F.col("part") == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.slice(words(F.col("row.text")), 1, F.col("part").cast("int")), " "))

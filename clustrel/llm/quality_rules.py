@@ -16,7 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clustrel.llm.common import words
+from clustrel.llm.common import documents, filtered, words
 
 #: Rules in bit order: name and the SQL condition, over the measurements, that fails a document.
 RULES: tuple[tuple[str, str], ...] = (
@@ -123,13 +123,11 @@ def keep_good(docs: DataFrame, mask: int = POLICIES["full-1"]) -> DataFrame:
     """The rows of docs, with their own columns only, that the policy keeps."""
     own = docs.columns
     boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col("text"))
-    return ledger(boxed).where(passes(mask)).select("row.*")
+    return filtered(ledger(boxed), passes(mask)).select("row.*")
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     """The ledger of all documents with the base verdict and that of policy full-1."""
-    from clustrel.llm.common import documents
-
     led = ledger(documents(spark, sf_dir).select("doc_id", "text"))
     return led.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
