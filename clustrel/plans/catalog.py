@@ -1,6 +1,449 @@
-"""Every query of the engine by name, with its SQL equivalent where SQL can express it."""
+"""Every query of the engine by name, with its SQL equivalent where SQL can express it.
+
+The points are the embeddings; their label is the given cluster. Dual values are made from distances to the
+own centroid, so that all queries are fixed by the data.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from clustrel.functions.vectors import gap_pct, plane_sq, sq_dist, sq_norm
+from clustrel.operators import assign, columns, discs, graph
+from clustrel.sources.points import read_vectors
+
+DIM, K = 64, 10
+#: Scales of dual values that leave the graph and the discs sparse.
+LAM, LAM2 = 0.42, 0.0016
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+# CTEs that the SQL texts share.
+_P = "pts AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM embeddings)"
+_L = "lng AS (SELECT id, label, unnest(f) AS v, generate_subscripts(f, 1) - 1 AS dim FROM pts)"
+_C = "cen AS (SELECT label, list(v ORDER BY dim) AS c, max(n) AS size FROM (SELECT label, dim, avg(v) AS v, count(*) AS n FROM lng GROUP BY label, dim) GROUP BY label)"
+_D = "own AS (SELECT id, pts.label, f, list_distance(f, c) ** 2 AS d2 FROM pts JOIN cen USING (label))"
+_N = f"nod AS (SELECT id, label, f, {LAM} * d2 AS lam FROM own)"
+_E = "edg AS (SELECT a.id AS src, b.id AS dst FROM nod a JOIN nod b ON a.id < b.id WHERE list_distance(a.f, b.f) <= sqrt(a.lam) + sqrt(b.lam) + 1e-10)"
+_DC = f"""c2 AS (SELECT label, avg(f[1]) AS cx, avg(f[2]) AS cy FROM pts GROUP BY label),
+dsc AS (SELECT id, f[1] AS x, f[2] AS y, {LAM2} * ((f[1] - cx) * (f[1] - cx) + (f[2] - cy) * (f[2] - cy)) AS lam FROM pts JOIN c2 USING (label)),
+prs AS (SELECT i.id AS i, j.id AS j, i.x AS xi, i.y AS yi, sqrt(i.lam) AS ri, j.x AS xj, j.y AS yj, sqrt(j.lam) AS rj,
+        sqrt((i.x - j.x) * (i.x - j.x) + (i.y - j.y) * (i.y - j.y)) AS d FROM dsc i JOIN dsc j ON i.id < j.id),
+rel AS (SELECT *, CASE WHEN d > ri + rj + 1e-10 THEN 'DISJOINT' WHEN d < 1e-10 AND abs(ri - rj) < 1e-10 THEN 'IDENTICAL'
+        WHEN d <= abs(ri - rj) + 1e-10 THEN 'CONTAINED' ELSE 'INTERSECT' END AS relation FROM prs)"""
+_V = """hit AS (SELECT *, (ri * ri - rj * rj + d * d) / (2 * d) AS al FROM rel WHERE relation = 'INTERSECT'),
+off AS (SELECT *, sqrt(greatest(ri * ri - al * al, 0)) AS h, (xj - xi) / d AS ux, (yj - yi) / d AS uy FROM hit),
+ver AS (SELECT i, j, s AS side, xi + al * ux - s * h * uy AS px, yi + al * uy + s * h * ux AS py FROM off, (VALUES (1), (-1)) AS t(s)),
+sb AS (SELECT v.i, v.j, v.side, any_value(px) AS px, any_value(py) AS py, list(k.id ORDER BY k.id) FILTER (WHERE k.id IS NOT NULL) AS s
+       FROM ver v LEFT JOIN dsc k ON k.id <> v.i AND k.id <> v.j AND (px - k.x) * (px - k.x) + (py - k.y) * (py - k.y) <= k.lam + 1e-10 GROUP BY v.i, v.j, v.side),
+iso AS (SELECT id FROM dsc WHERE id NOT IN (SELECT i FROM hit UNION SELECT j FROM hit)),
+ist AS (SELECT a.id, list(DISTINCT b.id ORDER BY b.id) AS m FROM dsc a JOIN iso USING (id) JOIN dsc b
+        ON a.id = b.id OR (sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= abs(sqrt(b.lam) - sqrt(a.lam)) + 1e-10 AND b.lam >= a.lam) GROUP BY a.id),
+cnd AS (SELECT DISTINCT m FROM (
+  SELECT list_sort(unnest([s, list_append(s, i), list_append(s, j), list_append(list_append(s, i), j)])) AS m FROM (SELECT i, j, coalesce(s, []::BIGINT[]) AS s FROM sb)
+  UNION ALL SELECT m FROM ist) WHERE len(m) > 0),
+prc AS (SELECT array_to_string(m, ',') AS members, sum(dd) AS cost, sum(dd) - sum(lam) AS rc, max(dd - lam) <= 1e-8 AS feasible
+        FROM (SELECT m, lam, (x - avg(x) OVER (PARTITION BY m)) ** 2 + (y - avg(y) OVER (PARTITION BY m)) ** 2 AS dd
+              FROM (SELECT m, unnest(m) AS id FROM cnd) JOIN dsc USING (id)) GROUP BY m)"""
+_LIST = "array_to_string({}, ',')"
+
+
+def _with(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _points(spark: SparkSession, sf: str) -> DataFrame:
+    return read_vectors(spark, f"{sf}/embeddings.parquet")
+
+
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return _points(spark, sf).withColumnRenamed("label", "cluster")
+
+
+def _own(spark: SparkSession, sf: str) -> DataFrame:
+    """id, label, features, d2 to the own centroid."""
+    x = _labelled(spark, sf)
+    j = x.join(F.broadcast(assign.centroids(x).select("cluster", "center")), "cluster")
+    return j.select("id", F.col("cluster").alias("label"), "features", sq_dist(F.col("features"), F.col("center"), DIM).alias("d2"))
+
+
+def _nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return _own(spark, sf).select("id", "label", "features", (F.lit(LAM) * F.col("d2")).alias("lam"))
+
+
+def _discs(spark: SparkSession, sf: str) -> DataFrame:
+    x = _points(spark, sf).select("id", "label", F.get("features", F.lit(0)).alias("x"), F.get("features", F.lit(1)).alias("y"))
+    c = x.groupBy("label").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    return x.join(F.broadcast(c), "label").select("id", "x", "y", (F.lit(LAM2) * plane_sq(*map(F.col, ("x", "y", "cx", "cy")))).alias("lam"))
+
+
+def _r(name: str, digits: int = 6):
+    return F.round(name, digits).alias(name)
+
+
+def _joined(name: str):
+    return F.array_join(name, ",").alias(name)
+
+
+@query(_with(_P, _L) + "SELECT id, dim::INT AS dim, round(v, 6) AS v FROM lng")
+def points_long(spark, sf):
+    return assign.long_form(_points(spark, sf)).select("id", "dim", _r("v"))
+
+
+@query(_with(_P) + "SELECT id, round(list_sum(list_transform(f, lambda x: x * x)), 6) AS norm2 FROM pts")
+def norms(spark, sf):
+    return _points(spark, sf).select("id", F.round(sq_norm(F.col("features")), 6).alias("norm2"))
+
+
+@query(_with(_P) + "SELECT a.id AS i, b.id AS j, round(list_distance(a.f, b.f) ** 2, 6) AS d2 FROM pts a JOIN pts b ON a.id < b.id")
+def sq_dist_pairs(spark, sf):
+    p = _points(spark, sf)
+    a, b = (p.select(F.col("id").alias(s), F.col("features").alias("f" + s)) for s in "ij")
+    return a.join(b, F.col("i") < F.col("j")).select("i", "j", F.round(sq_dist(F.col("fi"), F.col("fj"), DIM), 6).alias("d2"))
+
+
+@query(_with(_P, _L, _C) + "SELECT id, cen.label AS cluster, round(list_distance(f, c) ** 2, 6) AS d2 FROM pts, cen")
+def dist_to_centroids(spark, sf):
+    x = _labelled(spark, sf)
+    return assign.distances(x.select("id", "features"), assign.centroids(x), DIM).select("id", "cluster", _r("d2"))
+
+
+@query(_with(_P, _L) + "SELECT label AS cluster, dim::INT AS dim, round(avg(v), 6) AS v FROM lng GROUP BY label, dim")
+def label_centroids(spark, sf):
+    return assign.long_form(assign.centroids(_labelled(spark, sf)), "cluster").select("cluster", "dim", _r("v"))
+
+
+@query(_with(_P, _L, _C, _D) + "SELECT label AS cluster, count(*) AS size, round(sum(d2), 5) AS cost FROM own GROUP BY label")
+def label_cost(spark, sf):
+    return assign.cluster_costs(_labelled(spark, sf), DIM).select("cluster", "size", _r("cost", 5))
+
+
+@query(_with(_P, _L, _C, _D) + "SELECT round(sum(d2), 4) AS cost FROM own")
+def total_cost(spark, sf):
+    return assign.cluster_costs(_labelled(spark, sf), DIM).agg(F.round(F.sum("cost"), 4).alias("cost"))
+
+
+@query(_with(_P) + "SELECT label AS cluster, round(s / n, 5) AS cost FROM (SELECT a.label, sum(list_distance(a.f, b.f) ** 2) AS s FROM pts a JOIN pts b ON a.label = b.label AND a.id < b.id GROUP BY a.label) JOIN (SELECT label, count(*) AS n FROM pts GROUP BY label) USING (label)")
+def huygens_cost(spark, sf):
+    return assign.huygens_costs(_labelled(spark, sf)).select("cluster", _r("cost", 5))
+
+
+@query(_with(_P, _L) + "SELECT k::INT AS cluster, d::INT AS dim, round(coalesce(v, 0), 6) AS v, coalesce(n, 0)::BIGINT AS size FROM range(12) a(k), range(64) b(d) LEFT JOIN (SELECT label, dim, avg(v) AS v, count(*) AS n FROM lng GROUP BY label, dim) ON label = k AND dim = d")
+def centroids_with_empty(spark, sf):
+    c = assign.centroids_or_zero(_labelled(spark, sf), 12, DIM)
+    return c.select("cluster", "size", F.posexplode("center").alias("dim", "v")).select("cluster", "dim", _r("v"), F.col("size").cast("long").alias("size"))
+
+
+_RANK = "rnk AS (SELECT id, cen.label AS cluster, list_distance(f, c) ** 2 AS d2, row_number() OVER (PARTITION BY id ORDER BY list_distance(f, c), cen.label) AS r FROM pts, cen)"
+
+
+@query(_with(_P, _L, _C, _RANK) + "SELECT id, cluster, round(d2, 6) AS d2 FROM rnk WHERE r = 1")
+def assign_nearest(spark, sf):
+    x = _labelled(spark, sf)
+    return assign.nearest(x.select("id", "features"), assign.centroids(x), DIM).select("id", "cluster", _r("d2"))
+
+
+@query(_with(_P, _L, _C, _RANK) + "SELECT id, cluster, round(d2, 6) AS d2 FROM rnk WHERE r = 2")
+def second_nearest(spark, sf):
+    x = _labelled(spark, sf)
+    return assign.two_nearest(x.select("id", "features"), assign.centroids(x), DIM).select("id", F.col("c2").alias("cluster"), F.round("d2", 6).alias("d2"))
+
+
+def _step_sql(k: int) -> str:
+    return f"""a{k} AS (SELECT id, f, arg_min(j, {{d}}) AS j FROM (SELECT id, f, j, list_distance(f, c) AS dd FROM pts, s{k}) GROUP BY id, f),
+m{k} AS (SELECT j, list(v ORDER BY dim) AS c, max(n) AS size FROM (SELECT j, dim, avg(v) AS v, count(*) AS n FROM (SELECT j, unnest(f) AS v, generate_subscripts(f, 1) AS dim FROM a{k}) GROUP BY j, dim) GROUP BY j),
+s{k + 1} AS (SELECT s{k}.j, coalesce(m{k}.c, s{k}.c) AS c, coalesce(m{k}.size, 0) AS size FROM s{k} LEFT JOIN m{k} USING (j))""".replace("{d}", "struct_pack(dd := dd, j := j)")
+
+
+_S0 = f"s0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS j, f AS c FROM (SELECT id, f FROM pts ORDER BY id LIMIT {K}))"
+
+
+def _last(k: int) -> str:
+    return f"SELECT j::INT AS cluster, any_value(size)::BIGINT AS size, round(coalesce(sum(dd), 0), 5) AS cost FROM (SELECT s{k}.j, s{k}.size, list_distance(a.f, s{k}.c) ** 2 AS dd FROM s{k} LEFT JOIN a{k - 1} a ON a.j = s{k}.j) GROUP BY j"
+
+
+def _lloyd(spark, sf, steps: int) -> DataFrame:
+    p = _points(spark, sf).select("id", "features")
+    cents = assign.first_k(p, K)
+    for _ in range(steps - 1):
+        cents = assign.lloyd_step(p, cents, DIM)
+    at = assign.nearest(p, cents, DIM)
+    last = assign.lloyd_step(p, cents, DIM)
+    cost = at.join(F.broadcast(last.select("cluster", "center")), "cluster").groupBy("cluster").agg(F.sum(sq_dist(F.col("features"), F.col("center"), DIM)).alias("cost"))
+    return last.join(cost, "cluster", "left").select("cluster", F.col("size").cast("long").alias("size"), F.round(F.coalesce("cost", F.lit(0.0)), 5).alias("cost"))
+
+
+@query(_with(_P, _S0, _step_sql(0)) + _last(1))
+def lloyd_step(spark, sf):
+    return _lloyd(spark, sf, 1)
+
+
+@query(_with(_P, _S0, _step_sql(0), _step_sql(1), _step_sql(2)) + _last(3))
+def lloyd_3_steps(spark, sf):
+    return _lloyd(spark, sf, 3)
+
+
+_DB = "db AS (SELECT o.id, CASE WHEN m > 1 THEN m / (m - 1) * o.d2 ELSE 0 END AS lower, (SELECT min(list_distance(o.f, c) ** 2) FROM cen WHERE cen.label <> o.label) - o.d2 AS up FROM own o JOIN (SELECT label, count(*) AS m FROM pts GROUP BY label) USING (label))"
+
+
+@query(_with(_P, _L, _C, _D, _DB) + "SELECT id, round(lower, 6) AS lower FROM db")
+def dual_lower_bound(spark, sf):
+    return assign.dual_bounds(_labelled(spark, sf), DIM).select("id", _r("lower"))
+
+
+@query(_with(_P, _L, _C, _D, _DB) + "SELECT id, round(greatest(lower, up), 6) AS upper FROM db")
+def dual_upper_bound(spark, sf):
+    return assign.dual_bounds(_labelled(spark, sf), DIM).select("id", _r("upper"))
+
+
+@query(_with(_P, _L, _C, _D) + f"SELECT label AS cluster, {_LIST.format('list(id ORDER BY id)')} AS members, round(sum(d2), 5) AS cost FROM own GROUP BY label")
+def initial_columns(spark, sf):
+    return columns.from_assignment(_labelled(spark, sf), DIM).select("cluster", _joined("members"), _r("cost", 5))
+
+
+_JUMP = """two AS (SELECT id, f, max(CASE WHEN r = 1 THEN cluster END) AS c1, max(CASE WHEN r = 1 THEN d2 END) AS d1, max(CASE WHEN r = 2 THEN d2 END) AS d2 FROM rnk JOIN pts USING (id) GROUP BY id, f),
+pr AS (SELECT p.id, two.c1, d1, d2, list_distance(two.f, p.f) ** 2 AS d FROM two, pts p),
+est AS (SELECT label AS cluster, id, sum(CASE WHEN c1 = label THEN least(d, d2) ELSE least(d, d1) END) AS est FROM pr, cen GROUP BY label, id)"""
+
+
+@query(_with(_P, _L, _C, _RANK, _JUMP) + "SELECT cluster, id, round(est, 4) AS est FROM est")
+def jump_candidates(spark, sf):
+    x = _labelled(spark, sf)
+    return assign.jump_costs(x, assign.centroids(x), DIM).select("cluster", "id", _r("est", 4))
+
+
+@query(_with(_P, _L, _C, _RANK, _JUMP) + "SELECT cluster, id, round(est, 4) AS est FROM est WHERE est < 1.0005 * (SELECT sum(d1) FROM two)")
+def jump_screen(spark, sf):
+    x = _labelled(spark, sf)
+    cents = assign.centroids(x)
+    now = assign.nearest(x.select("id", "features"), cents, DIM).agg(F.sum("d2").alias("now"))
+    return assign.jump_costs(x, cents, DIM).crossJoin(F.broadcast(now)).where("est < 1.0005 * now").select("cluster", "id", _r("est", 4))
+
+
+def _far_sql(k: int) -> str:
+    return f"f{k} AS (SELECT pts.id, pts.f, least(w.far, list_distance(pts.f, g.f)) AS far FROM pts JOIN f{k - 1} w USING (id), g{k - 1} g),\ng{k} AS (SELECT id, f FROM f{k} ORDER BY far DESC, id LIMIT 1)"
+
+
+@query(
+    _with(_P, "f0 AS (SELECT id, f, 1e300 AS far FROM pts)", "g0 AS (SELECT id, f FROM pts ORDER BY id LIMIT 1)", *(_far_sql(k) for k in range(1, 5)))
+    + " UNION ALL ".join(f"SELECT {k} AS step, id FROM g{k}" for k in range(5))
+)
+def farthest_first_seeds(spark, sf):
+    return assign.farthest_first(_points(spark, sf).select("id", "features"), 5)
+
+
+@query(_with(_P, _L, _C, _D, _N, _E) + "SELECT src, dst FROM edg")
+def graph_edges(spark, sf):
+    return graph.edges(_nodes(spark, sf), DIM)
+
+
+_DEG = "deg AS (SELECT nod.id, count(e.id) AS degree FROM nod LEFT JOIN (SELECT src AS id FROM edg UNION ALL SELECT dst FROM edg) e ON e.id = nod.id GROUP BY nod.id)"
+
+
+@query(_with(_P, _L, _C, _D, _N, _E, _DEG) + "SELECT id, degree FROM deg")
+def graph_degree(spark, sf):
+    n = _nodes(spark, sf)
+    return graph.degrees(n, graph.edges(n, DIM))
+
+
+@query(_with(_P, _L, _C, _D, _N, _E) + "SELECT (SELECT count(*) FROM nod) AS n_nodes, (SELECT count(*) FROM edg) AS n_edges, round((SELECT count(*) FROM edg) / greatest(1, (SELECT count(*) * (count(*) - 1) / 2 FROM nod)), 9) AS density")
+def graph_density(spark, sf):
+    n = _nodes(spark, sf)
+    return graph.density(n, graph.edges(n, DIM)).select("n_nodes", "n_edges", _r("density", 9))
+
+
+@query(_with(_P, _L, _C, _D, _N, _E) + "SELECT src, dst FROM edg JOIN pts a ON a.id = src JOIN pts b ON b.id = dst WHERE a.label < 5 AND b.label < 5")
+def induced_subgraph(spark, sf):
+    n = _nodes(spark, sf)
+    return graph.induced(graph.edges(n, DIM), n.where("label < 5").select("id"))
+
+
+@query(
+    _with(_P, _L, _C, _D, _N, _E, _DEG)
+    + f"SELECT d.id, coalesce({_LIST.format('list(b.id ORDER BY b.id) FILTER (WHERE (b.degree, b.id) > (d.degree, d.id))')}, '') AS later FROM deg d LEFT JOIN (SELECT src, dst FROM edg UNION ALL SELECT dst, src FROM edg) e ON e.src = d.id LEFT JOIN deg b ON b.id = e.dst GROUP BY d.id"
+)
+def oriented_neighborhoods(spark, sf):
+    n = _nodes(spark, sf)
+    return graph.oriented(n, graph.edges(n, DIM)).select("id", _joined("later"))
+
+
+@query(_with(_P, _L, _C, _D, _N, _E) + "SELECT src, dst FROM edg WHERE (src + dst) % 3 <> 0")
+def diff_edge_removal(spark, sf):
+    n = _nodes(spark, sf)
+    e = graph.edges(n, DIM)
+    return graph.without(e, e.where("(src + dst) % 3 = 0").select(F.col("dst").alias("i"), F.col("src").alias("j")))
+
+
+@query(_with(_P, _DC) + "SELECT i, j, relation FROM rel")
+def disc_relation(spark, sf):
+    return discs.relations(_discs(spark, sf))
+
+
+@query(_with(_P, _DC, _V) + "SELECT i, j, side::INT AS side, round(px, 6) AS px, round(py, 6) AS py FROM ver")
+def disc_vertices(spark, sf):
+    return discs.vertices(_discs(spark, sf)).select("i", "j", "side", _r("px"), _r("py"))
+
+
+@query(_with(_P, _DC, _V) + "SELECT id FROM iso")
+def isolated_discs(spark, sf):
+    return discs.isolated(_discs(spark, sf))
+
+
+@query(_with(_P, _DC, _V) + f"SELECT i, j, side::INT AS side, coalesce({_LIST.format('s')}, '') AS s_base FROM sb")
+def vertex_sbase(spark, sf):
+    return discs.base_sets(_discs(spark, sf)).select("i", "j", "side", _joined("s_base"))
+
+
+@query(_with(_P, _DC, _V) + f"SELECT id, {_LIST.format('m')} AS members FROM ist")
+def isolated_index_sets(spark, sf):
+    return discs.isolated_sets(_discs(spark, sf)).select("id", _joined("members"))
+
+
+@query(_with(_P, _DC, _V) + f"SELECT {_LIST.format('m')} AS members FROM cnd")
+def candidate_sets(spark, sf):
+    return discs.candidate_sets(_discs(spark, sf)).select(_joined("members"))
+
+
+@query(_with(_P, _DC, _V) + "SELECT members, round(cost, 6) + 0 AS cost, round(rc, 6) + 0 AS rc, feasible FROM prc")
+def centroid_feasible(spark, sf):
+    return discs.priced_sets(_discs(spark, sf)).select("members", (F.round("cost", 6) + 0).alias("cost"), (F.round("rc", 6) + 0).alias("rc"), "feasible")
+
+
+@query(_with(_P, _DC, _V) + "SELECT members, round(cost, 6) AS cost, round(rc, 6) AS rc FROM prc WHERE feasible ORDER BY round(prc.rc, 9), members LIMIT 1")
+def aux2d_best(spark, sf):
+    return discs.best_set(_discs(spark, sf)).select("members", _r("cost"), _r("rc"))
+
+
+@query(_with(_P, _L, _C, _D, _N) + "SELECT id, round((SELECT avg(lam) FROM nod) - lam, 6) AS rc FROM nod")
+def singleton_rc(spark, sf):
+    n = _nodes(spark, sf)
+    return n.crossJoin(F.broadcast(n.agg(F.avg("lam").alias("sigma")))).select("id", F.round(F.col("sigma") - F.col("lam"), 6).alias("rc"))
+
+
+@query(
+    _with(_P, _L, _C, _D, _N, _E, _DEG)
+    + ", arc AS (SELECT d.id, b.id AS o FROM deg d JOIN (SELECT src, dst FROM edg UNION ALL SELECT dst, src FROM edg) e ON e.src = d.id JOIN deg b ON b.id = e.dst AND (b.degree, b.id) > (d.degree, d.id)), sm AS (SELECT nod.id, nod.lam + coalesce(sum(o.lam), 0) AS held FROM nod LEFT JOIN arc ON arc.id = nod.id LEFT JOIN nod o ON o.id = arc.o GROUP BY nod.id, nod.lam)"
+    + "SELECT id, round((SELECT avg(lam) FROM nod) - held, 5) AS bound FROM sm WHERE (SELECT avg(lam) FROM nod) - held < (SELECT avg(lam) - max(lam) FROM nod)"
+)
+def bound_prune(spark, sf):
+    from clustrel.operators.pricing import lower_bounds
+
+    n = _nodes(spark, sf)
+    sigma = n.agg(F.avg("lam").alias("sigma"), (F.avg("lam") - F.max("lam")).alias("best"))
+    b = lower_bounds(n, graph.oriented(n, graph.edges(n, DIM))).crossJoin(F.broadcast(sigma))
+    return b.where("sigma - held < best").select("id", F.round(F.col("sigma") - F.col("held"), 5).alias("bound"))
+
+
+@query(_with(_P, _L, _C, _D, _N) + "SELECT a.label AS grp, a.id AS i, b.id AS j, round(list_distance(a.f, b.f) ** 2 - a.lam - b.lam, 6) AS q FROM nod a JOIN nod b ON a.label = b.label AND a.id < b.id")
+def qp_coefficients(spark, sf):
+    return columns.qp_coefficients(_nodes(spark, sf), "label", DIM).select("grp", "i", "j", _r("q"))
+
+
+@query(
+    _with(_P, _L, _C, _D, _N)
+    + ", top AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY lam, id) - 1 AS pos FROM nod QUALIFY pos < 8), msk AS (SELECT label, unnest(generate_series(1, (1 << count(*)::INT) - 1)) AS mask FROM top GROUP BY label),"
+    + "lin AS (SELECT label, mask, sum(-lam) AS lin, count(*) AS size FROM msk JOIN top USING (label) WHERE (mask >> pos::INT) & 1 = 1 GROUP BY label, mask),"
+    + "qd AS (SELECT m.label, mask, sum(list_distance(a.f, b.f) ** 2 - a.lam - b.lam) AS quad FROM msk m JOIN top a ON a.label = m.label JOIN top b ON b.label = m.label AND a.id < b.id WHERE (mask >> a.pos::INT) & 1 = 1 AND (mask >> b.pos::INT) & 1 = 1 GROUP BY m.label, mask)"
+    + "SELECT label AS grp, mask::INT AS mask, size, round((coalesce(quad, 0) + lin) / size, 6) AS ratio FROM lin LEFT JOIN qd USING (label, mask) QUALIFY row_number() OVER (PARTITION BY label ORDER BY round((coalesce(quad, 0) + lin) / size, 9), mask) = 1"
+)
+def qp_exhaustive(spark, sf):
+    w = Window.partitionBy("label").orderBy("lam", "id")
+    top = _nodes(spark, sf).withColumn("pos", F.row_number().over(w) - 1).where("pos < 8")
+    return columns.best_subset(top, "label", DIM).select("grp", "mask", "size", _r("ratio"))
+
+
+_COLS = """col AS (SELECT label AS col_id, list(id ORDER BY id) AS m, sum(d2) AS cost, 0.5 AS z FROM own GROUP BY label
+  UNION ALL SELECT 100 + id % 10, list(id ORDER BY id), 0, 0.5 FROM own GROUP BY id % 10)"""
+
+
+def _columns(spark, sf) -> DataFrame:
+    """Two fractional partitions: by label, and by the last digit of the id."""
+    one = columns.from_assignment(_labelled(spark, sf), DIM).select(F.col("cluster").cast("long").alias("col_id"), "members", "cost")
+    two = _points(spark, sf).groupBy((100 + F.col("id") % 10).alias("col_id")).agg(F.sort_array(F.collect_list("id")).alias("members")).withColumn("cost", F.lit(0.0))
+    return one.unionByName(two).withColumn("z", F.lit(0.5))
+
+
+@query(_with(_P, _L, _C, _D, _COLS) + f"SELECT col_id::BIGINT AS col_id, round(any_value(cost) + 1.5 - sum({LAM} * d2), 5) AS rc FROM (SELECT col_id, cost, unnest(m) AS id FROM col) JOIN own USING (id) GROUP BY col_id")
+def column_reduced_cost(spark, sf):
+    return columns.reduced_costs(_columns(spark, sf), _nodes(spark, sf).select("id", "lam"), 1.5).select("col_id", _r("rc", 5))
+
+
+def _pairs_of(spark, *pairs: tuple[int, int]) -> DataFrame:
+    return spark.createDataFrame(list(pairs), "i long, j long")
+
+
+@query(_with(_P, _L, _C, _D, _COLS) + "SELECT col_id::BIGINT AS col_id, len(m) AS size FROM col WHERE list_contains(m, 0) = list_contains(m, 20) AND list_contains(m, 3) = list_contains(m, 13) AND NOT (list_contains(m, 1) AND list_contains(m, 31)) AND NOT (list_contains(m, 5) AND list_contains(m, 6))")
+def column_filter(spark, sf):
+    kept = columns.satisfying(_columns(spark, sf), _pairs_of(spark, (0, 20), (3, 13)), _pairs_of(spark, (1, 31), (5, 6)))
+    return kept.select("col_id", F.size("members").cast("long").alias("size"))
+
+
+_CO = "co AS (SELECT a, b, sum(z) AS frac FROM (SELECT z, x AS a, unnest(m) AS b FROM (SELECT z, m, unnest(m) AS x FROM col)) WHERE a < b GROUP BY a, b)"
+
+
+@query(_with(_P, _L, _C, _D, _COLS, _CO) + "SELECT a, b, frac::DOUBLE AS frac FROM co")
+def pair_cooccurrence(spark, sf):
+    return columns.cooccurrence(_columns(spark, sf))
+
+
+@query(_with(_P, _L, _C, _D, _COLS, _CO) + "SELECT a, b, frac::DOUBLE AS frac FROM co WHERE frac > 1e-4 AND frac < 1 - 1e-4 ORDER BY abs(frac - 0.5), a, b LIMIT 1")
+def ryan_foster_pair(spark, sf):
+    return columns.branching_pair(_columns(spark, sf))
+
+
+@query(_with(_P) + "SELECT id, (dense_rank() OVER (ORDER BY lo) - 1)::INT AS cluster FROM pts JOIN (SELECT label, min(id) AS lo FROM pts GROUP BY label) USING (label)")
+def label_extraction(spark, sf):
+    return columns.labels(_columns(spark, sf).withColumn("z", F.when(F.col("col_id") < 100, 1.0).otherwise(0.0))).select("id", F.col("cluster").cast("int").alias("cluster"))
+
+
+@query(_with(_P, _L, _C, _D, _COLS) + "SELECT count(*) FILTER (WHERE z > 1e-4 AND z < 1 - 1e-4) = 0 AS is_integral, count(*) FILTER (WHERE z > 1e-4 AND z < 1 - 1e-4) AS n_fractional FROM col")
+def integrality(spark, sf):
+    return columns.integral(_columns(spark, sf))
+
+
+@query("WITH RECURSIVE p AS (SELECT vec_id AS i, vec_id + 1 AS j FROM embeddings WHERE vec_id % 7 <> 6), a AS (SELECT i, j FROM p UNION SELECT j, i FROM p), r AS (SELECT i AS id, i AS c FROM a UNION SELECT a.j, r.c FROM r JOIN a ON a.i = r.id) SELECT id, min(c) AS component FROM r GROUP BY id")
+def same_components(spark, sf):
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="clustrel-"))
+    p = _points(spark, sf).where("id % 7 <> 6").select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"))
+    return columns.same_components(p)
+
+
+@query(
+    _with(_P)
+    + " UNION ALL ".join(
+        f"SELECT {k} AS k, round(sum(d), 4) AS cost FROM (SELECT pts.id, min(list_distance(pts.f, s.f) ** 2) AS d FROM pts, (SELECT f FROM pts ORDER BY id LIMIT {k}) s GROUP BY pts.id)"
+        for k in range(2, 11)
+    )
+)
+def k_sweep_cost(spark, sf):
+    p = _points(spark, sf).select("id", "features")
+    seeds = assign.first_k(p, 10)
+    d = assign.distances(p, seeds, DIM)
+    ks = spark.range(2, 11).select(F.col("id").cast("int").alias("k"))
+    per = d.join(F.broadcast(ks), F.col("cluster") < F.col("k")).groupBy("k", "id").agg(F.min("d2").alias("d2"))
+    return per.groupBy("k").agg(F.round(F.sum("d2"), 4).alias("cost"))
+
+
+@query(_with(_P, _L, _C, _D) + ", u AS (SELECT sum(d2) AS ub FROM own), l AS (SELECT sum(list_distance(f, c) ** 2) AS lb FROM pts, (SELECT list(v ORDER BY dim) AS c FROM (SELECT dim, avg(v) AS v FROM lng GROUP BY dim))) SELECT round(100 * (lb - ub) / lb, 5) AS gap_pct FROM u, l")
+def gap_to_one_cluster(spark, sf):
+    x = _labelled(spark, sf)
+    ub = assign.cluster_costs(x, DIM).agg(F.sum("cost").alias("ub"))
+    one = assign.cluster_costs(x.withColumn("cluster", F.lit(0)), DIM).agg(F.sum("cost").alias("lb"))
+    return ub.crossJoin(one).select(F.round(gap_pct(F.col("lb"), F.col("ub")), 5).alias("gap_pct"))
