@@ -244,7 +244,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     clusters = components(stars)
     members = classes.join(clusters, F.col("c1") == F.col("node")).select(F.col("component").alias("cluster"), "rep", F.col("c1").alias("w1"), F.col("c2").alias("w2"), "n")
     tiles = stored(_tiles(stored(members, "members"), num, den), "tiles")
-    links = stored(_compared(docs.join(tiles, F.col("doc_id") == F.col("rep")), k, num, den), "links")
+    links = stored(_compared(docs.join(tiles.hint("merge"), F.col("doc_id") == F.col("rep")), k, num, den), "links")
     found = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("comp"))
     own = rows.select("doc_id", F.col("n").alias("n_shingles"), "c1", "c2")
