@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clustrel.llm import jaccard_join, license_scan, line_dedup, mixing, packing, quality_model, quality_rules, secrets, token_counts
+from clustrel.llm import image_copies, jaccard_join, license_scan, line_dedup, mixing, packing, quality_model, quality_rules, secrets, token_counts
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_model": quality_model.op4_quality_model,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_image_copies": image_copies.op7_image_copies,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_packing": packing.op10_packing,
