@@ -447,3 +447,69 @@ def gap_to_one_cluster(spark, sf):
     ub = assign.cluster_costs(x, DIM).agg(F.sum("cost").alias("ub"))
     one = assign.cluster_costs(x.withColumn("cluster", F.lit(0)), DIM).agg(F.sum("cost").alias("lb"))
     return ub.crossJoin(one).select(F.round(gap_pct(F.col("lb"), F.col("ub")), 5).alias("gap_pct"))
+
+
+# Iterative searches, which SQL can't express; the tests hold them against brute force.
+
+
+def _solution(spark, ids, labels, cost: float) -> DataFrame:
+    rows = [(int(i), int(c), float(cost)) for i, c in zip(ids, labels, strict=True)]
+    return spark.createDataFrame(rows, "id long, cluster int, cost double")
+
+
+@query()
+def kmeans_solution(spark, sf):
+    """Lloyd's optimum from the first points, on DataFrames of any size."""
+    from clustrel.operators.heuristics import kmeans
+
+    p = _points(spark, sf).select("id", "features")
+    cents, _ = kmeans(p, K, most=15)
+    return assign.nearest(p, cents, DIM).select("id", "cluster", _r("d2"))
+
+
+@query()
+def multistart_solution(spark, sf):
+    """The best of several restarts of Lloyd's steps, one task each."""
+    from clustrel.operators.heuristics import restarts
+
+    ids, labels, _, cost = restarts(_points(spark, sf), K, 8)
+    return _solution(spark, ids, labels, cost)
+
+
+@query()
+def jmeans_solution(spark, sf):
+    """The best of several starts, improved by screened jump moves."""
+    from clustrel.operators.heuristics import restarts
+
+    ids, labels, _, cost = restarts(_points(spark, sf), K, 4, jumps=True)
+    return _solution(spark, ids, labels, cost)
+
+
+@query()
+def priced_columns(spark, sf):
+    """The best set of every neighbourhood, with its value, bound and whether the search was exact."""
+    from clustrel.operators import heuristics, pricing
+
+    ids, x = heuristics.local(_points(spark, sf))
+    lam = _nodes(spark, sf).orderBy("id").toPandas()["lam"].to_numpy()
+    found = pricing.price(spark, pricing.contract(x, lam, [], []), 300)
+    rows = [(int(ids[r.seed]), [int(ids[m]) for m in r.members], float(r.value), float(r.bound), bool(r.exact)) for r in found.itertuples()]
+    return spark.createDataFrame(rows, pricing.SCHEMA).select("seed", _joined("members"), "value", "bound", "exact")
+
+
+def _solved(spark, sf):
+    from clustrel.operators import solver
+
+    return solver.as_frames(spark, solver.solve(_points(spark, sf), K, 4, max_nodes=1, most=3, limit=100, jumps=False))
+
+
+@query()
+def bnb_result(spark, sf):
+    """Cost, certified bound and gap of a search cut short: a first node of three rounds."""
+    return _solved(spark, sf)[0]
+
+
+@query()
+def bnb_assignment(spark, sf):
+    """The assignment of that search."""
+    return _solved(spark, sf)[1]
