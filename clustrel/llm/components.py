@@ -56,7 +56,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     Each round's edges are written to the shared folder. Loops and repeated edges don't matter; no edges
     give no rows.
     """
-    e = edges.select("a", "b").where("a is not null and b is not null").mapInArrow(_forest, "u long, v long")
+    e = stored(edges.select("a", "b").where("a is not null and b is not null").mapInArrow(_forest, "u long, v long"), "edges")
     before = None
     for _ in range(most):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
