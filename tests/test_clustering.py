@@ -116,3 +116,26 @@ def test_readers(spark, tmp_path):
 
 def test_gap(spark):
     assert spark.range(1).select(gap_pct(F.lit(4.0), F.lit(3.0))).first()[0] == 25.0
+
+
+def test_sweep_finds_separated_clouds(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(12, 2)) * 0.2 + c for c in ((0, 0), (9, 0), (0, 9))])
+    known = {3: heuristics.cost_of(x, np.repeat(range(3), 12))}
+    from clustrel.operators.validate import k_sweep, summary
+
+    s = summary(k_sweep(frame(spark, x), known, restarts=4)).first()
+    assert (s["n"], s["worse"]) == (1, 0) and abs(s["max_gap_pct"]) < 1e-6
+
+
+def test_stream_scoring(spark, tmp_path):
+    from clustrel.streaming.scoring import assign_stream
+
+    df = frame(spark, [[0, 0], [9, 9], [1, 0]])
+    df.write.parquet(str(tmp_path / "in"))
+    cents = spark.createDataFrame([(0, [0.0, 0.0]), (1, [9.0, 9.0])], "cluster int, center array<double>")
+    stream = assign_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), cents, 2)
+    q = stream.writeStream.format("memory").queryName("scored").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(r["id"], r["cluster"]) for r in spark.sql("select * from scored").collect()} == {(0, 0), (1, 1), (2, 0)}
