@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,6 +266,27 @@ def test_image_copies_survive_crops_turns_and_edits(spark):
     assert {(r["a"], r["b"]) for r in image_copies.copies(points).collect()} == {(0, 6), (1, 7), (2, 8), (3, 9)}
 
 
+def test_images_meet_behind_other_heads(spark):
+    rng = np.random.default_rng(8)
+    d = rng.integers(-(2**62), 2**62, (12, 2)).tolist()
+    at = [(int(x), int(y)) for x, y in rng.integers(20, 400, (12, 2))]
+    point = lambda k, shift=0, other=None: (0, at[k][0] + shift, at[k][1], 0, d[k][0], d[k][1] if other is None else other)
+    # Every keypoint of the copies 100, 101 (a part of the same) and 102 (equal to 100) is also that of an earlier image, or shares a half with one.
+    rows = [(k, [point(k, 50 * k)]) for k in range(6)] + [(k, [point(k, 50 * k, ~d[k][1]), (0, 5, 5, 0, ~d[k][0], d[k][1])]) for k in range(6, 12)]
+    rows += [(100, [point(k) for k in range(12)]), (101, [point(k) for k in range(1, 12)]), (102, [point(k) for k in range(12)])]
+    kind = "id long, points array<struct<level:long,x:long,y:long,turn:long,d0:long,d1:long>>"
+    got = image_copies.copies(spark.createDataFrame(rows, kind)).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(100, 101), (100, 102)} and {r["votes"] for r in got} == {22, 24}
+    # Places that go on over batches give each pair once.
+    n = 50
+    batch = lambda v, i: pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (v, i, np.full(len(v), 7), np.zeros(len(v)))], ["v", "id", "place", "o"])
+    v, i = np.repeat([2, 4, 6], n), np.tile(np.arange(n), 3)
+    for size in (1, 7, 50, 64, 150):
+        out = list(image_copies._votes(iter([batch(v[k : k + size], i[k : k + size]) for k in range(0, 3 * n, size)])))
+        pairs = Counter((a, b) for r in out for a, b in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), strict=True))
+        assert pairs == {(a, b): 3 for a in range(n) for b in range(a + 1, n)}
+
+
 def test_empty_tables(spark, none):
     assert quality_rules.ledger(none).count() == 0 == line_dedup.dedup(none).count() == jaccard_join.join(none).count()
     assert mixing.apply_mix(none).count() == 0 == packing.pack_documents(none, n_words(F.col("text"))).count()
