@@ -4,8 +4,8 @@ Texts and templates become words (letters and digits of any script, ASCII letter
 GRAM words in a row are hashed, and of each WINDOW such hashes in a row the least is a fingerprint, so that any
 GRAM + WINDOW - 1 words in common share one. The templates' fingerprints are an inverted index from hash to
 template and position: its size is that of the templates, a fixed list, so it goes to every task. Where a
-text's fingerprints meet it, the hits of a template are grouped by diagonal, and the text around each group is
-aligned to the template within a band of diagonals (matches 1, others -1). What is reported is the share of
+text's fingerprints meet it, the text around the hits is
+aligned to the template (matches 1, others -1), and what an alignment leaves is aligned again. What is reported is the share of
 the template's words that match, and the span of the text, in code points, end exclusive.
 
 Edge cases: a null or empty text has no hits; texts are read whole; several notices in one text are reported
@@ -15,7 +15,7 @@ each for itself; an empty table gives no rows; columns other than id and text ar
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -72,6 +72,11 @@ def fingerprints(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g[at], at
 
 
+def needed(template: list[int], coverage: float) -> int:
+    """The least number of matches that reach the coverage."""
+    return max(1, next(m for m in range(int(coverage * len(template)), len(template) + 2) if m >= coverage * len(template)))
+
+
 class Index:
     """The templates' words and the inverted index of their fingerprints."""
 
@@ -122,27 +127,60 @@ def align(text: list[int], template: list[int], diagonal: int, band: int = BAND)
     return best[1:]
 
 
+def shared(words: list[int], template: Counter) -> int:
+    """At most so many of the words match the template, in any alignment."""
+    return sum(min(n, template[w]) for w, n in Counter(w for w in words if w in template).items())
+
+
+def every(h: list[int], template: list[int], need: int) -> Iterator[tuple[int, int, int]]:
+    """matches, first and end of the template's alignments of at least so many matches, apart from each other.
+
+    An alignment has fewer errors than matches, so it is shorter than two templates; a window of four holds
+    all that start in its first half. After the best of a window what lies before it is searched, then what follows.
+    """
+    n, have = len(template), Counter(template)
+    todo = [(0, len(h))]
+    while todo:
+        s, hi = todo.pop()
+        if hi - s < need:
+            continue
+        window = h[s : min(hi, s + 4 * n)]
+        if shared(window, have) < need:
+            if s + 4 * n < hi:
+                todo.append((s + 2 * n + 1, hi))
+            continue
+        matched, first, end = align(window, template, 0, 5 * n)
+        first, end = s + first, s + end
+        if first >= s + 2 * n:  # it may go on beyond the window
+            todo += [(first, hi), (s, first)]
+        elif matched >= need:
+            yield matched, first, end
+            todo += [(end, hi), (s, first)]
+        else:
+            todo += [(first + 1, hi), (s, first)]
+
+
 def scan(text: str | None, index: Index, coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int, int]]:
     """template, coverage, matched words, template's words, start and end of each notice in a text."""
     if not text:
         return []
     low, starts, ends, h = tokens(text)
-    found = []
+    ranges: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for k, pairs in index.hits(h).items():
+        n = len(index.words[k])
+        ranges[k] += [(p - i - BAND, p - i + n + BAND) for p, i in pairs]
+    found = []
+    for k, spans in ranges.items():
         template = index.words[k]
-        groups: list[list[tuple[int, int]]] = []
-        for p, i in sorted(pairs, key=lambda x: (x[0] - x[1], x[0])):
-            last = groups[-1][-1] if groups else None
-            if last and p - i - (last[0] - last[1]) <= BAND and abs(p - last[0]) <= len(template) + BAND:
-                groups[-1].append((p, i))
+        merged: list[list[int]] = []
+        for lo, hi in sorted(spans):
+            if merged and lo <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], hi)
             else:
-                groups.append([(p, i)])
-        for group in groups:
-            lo = max(0, min(p - i for p, i in group) - BAND)
-            hi = min(len(h), max(p - i for p, i in group) + len(template) + BAND)
-            middle = sorted(p - i for p, i in group)[len(group) // 2]
-            matched, first, end = align(h[lo:hi].tolist(), template, middle - lo)
-            if matched >= coverage * len(template) and matched:
+                merged.append([lo, hi])
+        for lo, hi in merged:
+            lo = max(0, lo)
+            for matched, first, end in every(h[lo:hi].tolist(), template, needed(template, coverage)):
                 found.append((index.names[k], matched / len(template), matched, len(template), lo + first, lo + end))
     kept: list[tuple] = []
     for f in sorted(set(found), key=lambda f: (-f[2], -f[1], f[0], f[4])):

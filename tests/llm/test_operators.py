@@ -241,6 +241,14 @@ def test_licenses_with_edits_are_aligned():
     assert license_scan.scan("nothing of the sort here at all", index) == [] == license_scan.scan(None, index)
 
 
+@pytest.mark.parametrize("name", ["MIT-notice", "Apache-2.0-notice", "CC-BY-NC-4.0-notice", "ISC"])
+def test_notices_in_a_row_are_reported_each(name):
+    line = license_scan.TEMPLATES[name]
+    got = license_scan.scan("\n".join([line] * 20), license_scan.Index(license_scan.TEMPLATES))
+    assert [(g[0], g[1]) for g in got] == [(name, 1.0)] * 20
+    assert [g[4] for g in got] == [k * (len(line) + 1) for k in range(20)]
+
+
 def test_alignment_equals_an_unbanded_one():
     rng = random.Random(5)
     for _ in range(60):
