@@ -3,8 +3,9 @@
 Texts and templates become words (letters and digits of any script, ASCII letters in lower case). Every
 GRAM words in a row are hashed, and of each WINDOW such hashes in a row the least is a fingerprint, so that any
 GRAM + WINDOW - 1 words in common share one. The templates' fingerprints are an inverted index from hash to
-template and position: its size is that of the templates, a fixed list, so it goes to every task. Where a
-text's fingerprints meet it, the text around the hits is
+template and position: its size is that of the templates, a fixed list, so it goes to every task. Templates of
+fewer than SHORT words are met wherever as many of their words as the coverage asks for stand within twice
+their length, so that no edit hides them; long ones need a fingerprint in common. The text around hits is
 aligned to the template (matches 1, others -1), and what an alignment leaves is aligned again. What is reported is the share of
 the template's words that match, and the span of the text, in code points, end exclusive.
 
@@ -27,6 +28,8 @@ from clustrel.llm import hashing
 from clustrel.llm.common import documents
 
 GRAM, WINDOW, BAND = 3, 2, 8
+#: Templates of fewer words are found by their words, not by fingerprints.
+SHORT = 24
 COVERAGE = 0.7
 
 # Notices of common licenses, as their authors word them.
@@ -78,7 +81,7 @@ def needed(template: list[int], coverage: float) -> int:
 
 
 class Index:
-    """The templates' words and the inverted index of their fingerprints."""
+    """The templates' words, the inverted index of the long ones' fingerprints, and that of the short ones' words."""
 
     def __init__(self, templates: Mapping[str, str]) -> None:
         self.names = sorted(templates)
@@ -87,12 +90,27 @@ class Index:
         for k, name in enumerate(self.names):
             h = tokens(templates[name])[3]
             self.words.append(h.tolist())
+            if len(h) < SHORT:
+                continue
             # All grams of a template are filed, so that the text's choice of fingerprints alone decides.
             posts += [(int(x), k, i) for i, x in enumerate(hashing.grams(h, GRAM))]
         posts.sort()
         self.keys, self.first = np.unique(np.array([p[0] for p in posts], np.uint64), return_index=True)
         self.first = np.append(self.first, len(posts))
         self.posts = [(k, i) for _, k, i in posts]
+        self.short = [(k, np.unique(np.array(w, np.uint64))) for k, w in enumerate(self.words) if 0 < len(w) < SHORT]
+        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w for _, w in self.short)]))
+        self.member = [(k, np.isin(self.vocabulary, w)) for k, w in self.short]
+
+    def near(self, h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """By short template, the positions of a text's words that it has."""
+        if not len(h) or not len(self.vocabulary):
+            return
+        slot = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        at = np.flatnonzero(self.vocabulary[slot] == h)
+        slot = slot[at]
+        for k, member in self.member:
+            yield k, at[member[slot]]
 
     def hits(self, h: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """By template, the pairs of positions in text and template that share a fingerprint."""
@@ -169,6 +187,11 @@ def scan(text: str | None, index: Index, coverage: float = COVERAGE) -> list[tup
     for k, pairs in index.hits(h).items():
         n = len(index.words[k])
         ranges[k] += [(p - i - BAND, p - i + n + BAND) for p, i in pairs]
+    for k, at in index.near(h):
+        n, need = len(index.words[k]), needed(index.words[k], coverage)
+        if len(at) >= need:
+            close = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < 2 * n)
+            ranges[k] += [(int(at[j]) - 2 * n, int(at[j]) + 2 * n) for j in close]
     found = []
     for k, spans in ranges.items():
         template = index.words[k]

@@ -249,6 +249,31 @@ def test_notices_in_a_row_are_reported_each(name):
     assert [g[4] for g in got] == [k * (len(line) + 1) for k in range(20)]
 
 
+@pytest.mark.parametrize("text", ["Released under MIT License.", "Released under an MIT License"])
+def test_short_notices_with_an_edit(text):
+    got = license_scan.scan(f"so it is. {text} and more", license_scan.Index(license_scan.TEMPLATES))
+    assert [(g[0], g[1]) for g in got] == [("MIT-notice", 0.8)]
+
+
+def test_short_notices_equal_alignment_everywhere():
+    rng = random.Random(6)
+    names = [n for n, t in license_scan.TEMPLATES.items() if len(license_scan.tokens(t)[3]) < license_scan.SHORT]
+    n_found = 0
+    for _ in range(150):
+        name = rng.choice(names)
+        words = re.findall(r"[\w]+", license_scan.TEMPLATES[name])
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = rng.choice(["odd", "", "new words"])
+        text = "x y z " * rng.randint(0, 9) + " ".join(words) + " p q" * rng.randint(0, 9)
+        index = license_scan.Index({name: license_scan.TEMPLATES[name]})
+        h, template = license_scan.tokens(text)[3].tolist(), index.words[0]
+        matched = license_scan.align(h, template, 0, len(h) + len(template))[0]
+        got = license_scan.scan(text, index)
+        assert ([g[2] for g in got] == [matched]) == (matched >= license_scan.COVERAGE * len(template)), text
+        n_found += len(got)
+    assert 20 < n_found < 150
+
+
 def test_alignment_equals_an_unbanded_one():
     rng = random.Random(5)
     for _ in range(60):
