@@ -85,28 +85,50 @@ def may_have_hex(text: str) -> bool:
 Literal = tuple[int, int, str]
 
 
-def assignments(text: str) -> Iterator[tuple[str, list[Literal]]]:
-    """Each assigned name and the literals that reach it, constants of earlier assignments included."""
-    constants: dict[str, list[Literal]] = {}
+class Reach:
+    """What reaches one assignment: its own literals, and the assignments whose literals it takes over, held by reference."""
+
+    __slots__ = ("taken", "own")
+
+    def __init__(self, own: list[Literal], taken: list[Reach]) -> None:
+        self.own, self.taken = own, taken
+
+
+def assignments(text: str) -> Iterator[tuple[str, Reach]]:
+    """Each assigned name and what reaches it, constants of earlier assignments included."""
+    constants: dict[str, Reach] = {}
     for site in _SITE.finditer(text):
-        name, at, reach = site["name"], site.end(), []
+        name, at, own, taken = site["name"], site.end(), [], []
         while term := _TERM.match(text, at):
             at = term.end()
             if term["s"] is not None:
-                reach.append((term.start() + 1, term.end() - 1, term["s"][1:-1]))
+                own.append((term.start() + 1, term.end() - 1, term["s"][1:-1]))
             elif term["n"] is not None and term["n"] in constants:
-                reach += constants[term["n"]]
+                taken.append(constants[term["n"]])
             elif term["n"] is None or not text.startswith("(", at):
                 start, end = term.span()
                 bare = term[0].rstrip(".,;")
-                reach.append((start, end - (len(term[0]) - len(bare)), bare))
+                own.append((start, end - (len(term[0]) - len(bare)), bare))
             if not (more := _JOIN.match(text, at)):
                 break
             at = more.end()
-        if reach:
-            reach = list(dict.fromkeys(reach))[:64]
-            constants[name] = reach
-            yield name, reach
+        if own or taken:
+            constants[name] = Reach(own, taken)
+            yield name, constants[name]
+
+
+def reaching(found: list[tuple[float, str, Reach]]) -> Iterator[tuple[float, str, Literal]]:
+    """The sensitivity and name of the first most sensitive target of each literal; every assignment is walked once."""
+    seen: set[int] = set()
+    for weight, name, top in sorted(found, key=lambda f: -f[0]):
+        todo = [top]
+        while todo:
+            at = todo.pop()
+            if id(at) in seen:
+                continue
+            seen.add(id(at))
+            yield from ((weight, name, x) for x in at.own)
+            todo += at.taken
 
 
 def scan(text: str | None) -> list[dict]:
@@ -123,12 +145,11 @@ def scan(text: str | None) -> list[dict]:
     more: dict[tuple[int, int], tuple] = {}
     if any(r in low for r in _ROOTS):
         held = [(a, b) for kind, a, b, _, _ in base if kind != "hex"]
-        for name, reach in assignments(text):
-            if weight := sensitivity(name):
-                for start, end, value in reach:
-                    score = weight * strength(value)
-                    if score >= THRESHOLD and not any(a <= start and end <= b for a, b in held) and score > more.get((start, end), (0.0,))[-1]:
-                        more[start, end] = ("literal", start, end, name, score)
+        targets = [(weight, name, reach) for name, reach in assignments(text) if (weight := sensitivity(name))]
+        for weight, name, (start, end, value) in reaching(targets):
+            score = weight * strength(value)
+            if score >= THRESHOLD and not any(a <= start and end <= b for a, b in held) and score > more.get((start, end), (0.0,))[-1]:
+                more[start, end] = ("literal", start, end, name, score)
     found = sorted([*base, *more.values()], key=lambda s: (s[1], KINDS.index(s[0])))
     return [dict(zip(("kind", "start", "end", "name", "score"), s, strict=True)) for s in found]
 

@@ -185,6 +185,14 @@ def test_literals_under_sensitive_names(text, found):
     assert got == ([found] if found else [])
 
 
+def test_all_literals_reach_the_sensitive_name():
+    parts = [f"Zx{k:03d}kPq0Lm!" for k in range(200)]
+    steps = 'x = ""\n' + "\n".join(f'x = x + "{p}"' for p in parts)
+    for text, name in ((f"{steps}\napi.secret = x\nsalt = x", "api.secret"), ("db_password = " + " + ".join(f'"{p}"' for p in parts), "db_password")):
+        got = [s for s in secrets.scan(text) if s["kind"] == "literal"]
+        assert [text[s["start"] : s["end"]] for s in got] == parts and {s["name"] for s in got} == {name}
+
+
 def test_tokens_equal_the_library():
     tokenizers, files = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     spec = open(files.path("byte_bpe_50k.json"), encoding="utf-8").read()
