@@ -463,7 +463,7 @@ def kmeans_solution(spark, sf):
     from clustrel.operators.heuristics import kmeans
 
     p = _points(spark, sf).select("id", "features")
-    cents, _ = kmeans(p, K, most=15)
+    cents, _ = kmeans(p, K, most=300)
     return assign.nearest(p, cents, DIM).select("id", "cluster", _r("d2"))
 
 

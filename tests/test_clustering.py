@@ -103,6 +103,26 @@ def test_distributed_and_local_steps_agree(spark):
     assert cost == pytest.approx(heuristics.lloyd(x, x[:4])[0])
 
 
+def test_jump_search_ends_where_no_screened_jump_helps():
+    x = np.random.default_rng(0).normal(size=(100, 16))
+    cost, labels, c = heuristics.local_search(x, x[:5])
+    for _, j, i in heuristics.screen(x, c, labels, 0.05, cost):
+        moved = c.copy()
+        moved[j] = x[i]
+        assert heuristics.lloyd(x, moved)[0] >= cost - 1e-10
+
+
+def test_kmeans_query_allows_as_many_steps_as_lloyd(spark, monkeypatch):
+    from clustrel.plans import catalog
+
+    got = {}
+    x = np.random.default_rng(0).normal(size=(12, 64))
+    monkeypatch.setattr(catalog, "_points", lambda spark, sf: frame(spark, x))
+    monkeypatch.setattr(heuristics, "kmeans", lambda p, k, **more: got.update(more) or (assign.first_k(p, k), 0.0))
+    catalog.kmeans_solution(spark, "")
+    assert got["most"] >= 300
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("1.0,2.5,x\n-3e0,4,y\n\n")
     (tmp_path / "b.tsp").write_text("NAME: b\nNODE_COORD_SECTION\n 1 37.44 -25.40\n 02 3 .5\nEOF\n")
