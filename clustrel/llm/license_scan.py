@@ -32,7 +32,7 @@ GRAM, WINDOW, BAND = 3, 2, 8
 SHORT = 24
 COVERAGE = 0.7
 
-# Notices of common licenses, as their authors word them.
+# Notices of common licenses and beginnings of their texts, not whole texts.
 TEMPLATES: dict[str, str] = {
     "MIT-notice": "Released under the MIT License.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
