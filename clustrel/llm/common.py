@@ -21,13 +21,15 @@ def words(text: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     """How many words a text has, as a long."""
-    return F.size(words(text)).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]++")).cast("long")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see; one is set only where the session has none."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="clustrel-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()
@@ -39,7 +41,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/clustrel-{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    back = spark.read.schema(df.schema).parquet(at)
+    back.stored_at = at
+    return back
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table behind a result of ``stored`` that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(conf).delete(path, True)
 
 
 def filtered(df: DataFrame, keep: Column) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from clustrel.llm.common import stored
+from clustrel.llm.common import forget, stored
 
 #: Edges that a task gathers before it thins them out.
 CHUNK = 1 << 18
@@ -50,23 +50,25 @@ def _dealt(e: DataFrame) -> tuple[DataFrame, DataFrame]:
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """node, component: of edges(a, b), every node and the least node that can be reached from it.
 
-    Each task first thins its edges to forests. Then large-star and small-star steps take turns until nothing
-    changes; the number of rounds grows with the logarithm of the longest path. A step is one shuffle of
+    Each task first thins its edges to forests. Then large-star and small-star steps take turns until the edges stay
+    the same; the number of rounds grows with the logarithm of the longest path. A step is one shuffle of
     edges of 16 bytes, sorted and streamed, so that a node with very many neighbours is never held in memory.
-    Each round's edges are written to the shared folder. Loops and repeated edges don't matter; no edges
+    Each round's edges are written to the shared folder, and those of the round before deleted. Loops and repeated edges don't matter; no edges
     give no rows.
     """
     e = stored(edges.select("a", "b").where("a is not null and b is not null").mapInArrow(_forest, "u long, v long"), "edges")
-    before = None
+    before = None  # of the round before: how many edges, and two sums of 64-bit hashes of them
     for _ in range(most):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         arcs, least = _dealt(both)
         large = arcs.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         arcs, least = _dealt(large)
         small = arcs.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
-        seen = Observation()
-        e = stored(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 20))).alias("h")), "edges")
-        now = (seen.get["n"], seen.get["h"])
+        seen, old = Observation(), e
+        sums = [F.sum(F.xxhash64(*more, "u", "v").cast("decimal(38,0)")) for more in ([], [F.lit(1)])]
+        e = stored(small.observe(seen, F.count(F.lit(1)).alias("n"), *(s.alias(f"h{k}") for k, s in enumerate(sums))), "edges")
+        forget(old)
+        now = (seen.get["n"], seen.get["h0"], seen.get["h1"])
         if now == before or not now[0]:
             break
         before = now

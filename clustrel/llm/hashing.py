@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        p = np.full(size, _BASE, np.uint64)
-        p[0] = 1
-        q = np.full(size, _INVERSE, np.uint64)
-        q[0] = 1
-        _powers, _inverses = np.cumprod(p, dtype=np.uint64), np.cumprod(q, dtype=np.uint64)
-    return _powers, _inverses
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_SEED = 0x9E3779B97F4A7C15
+#: Longer spans are hashed one by one.
+LONG = 128
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -43,21 +33,40 @@ def runs(member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, by its content alone."""
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, by its content and the seed alone: eight bytes at a time are mixed in, so that spans of up to eight bytes of one length never share a hash."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    powers, inverses = _tables(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverses[starts])
-
-
-def words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place
+    length = ends - starts
+    out = mix(length.astype(np.uint64) + np.uint64(_SEED * (2 * seed + 1) % (1 << 64)))
+    at, left, which = starts, np.minimum(length, LONG), None
+    while True:
+        part = eight[at] & _MASK[np.minimum(left, 8)]
+        if which is None:
+            out = mix(out ^ part)
+            go = np.flatnonzero(left > 8)
+            which = go
+        else:
+            out[which] = mix(out[which] ^ part)
+            go = np.flatnonzero(left > 8)
+            which = which[go]
+        if not len(go):
+            break
+        at, left = at[go] + 8, left[go] - 8
+    for k in np.flatnonzero(length > LONG).tolist():
+        digest = blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little"))
+        out[k] = int.from_bytes(digest.digest(), "little")
+    return out
+
+
+def words(text: bytes, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words between white space."""
     data = np.frombuffer(text, np.uint8)
     starts, ends = runs(~BLANK[data])
-    return starts, ends, hashes(data, starts, ends)
+    return starts, ends, hashes(data, starts, ends, seed)
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -72,9 +81,9 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(acc)
 
 
-def shingles(text: bytes, k: int) -> np.ndarray:
+def shingles(text: bytes, k: int, seed: int = 0) -> np.ndarray:
     """The sorted distinct shingles of k words of a text, ASCII letters in lower case; all words as one where there are fewer than k; none without words."""
-    h = words(text.lower())[2]
+    h = words(text.lower(), seed)[2]
     if not len(h):
         return h
     if len(h) < k:

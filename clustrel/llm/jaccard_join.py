@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clustrel.llm import hashing
-from clustrel.llm.common import documents, stored
+from clustrel.llm.common import documents, forget, stored
 from clustrel.llm.components import components
 
 #: Most sets and shingles of a block; a task holds two blocks.
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 1 << 21
 BITS = 2048
+#: Sets of so few shingles are told apart by two hashes of their words.
+FEW = 64
 _SALT, _OTHER, _TILE, _EMPTY = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
 
@@ -84,9 +86,10 @@ class Tiles:
         return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def set_id(x: np.ndarray) -> tuple[int, int]:
-    """128 bits for a set, as two signed longs."""
-    both = np.array([hashing.mix(x ^ _SALT).sum(dtype=np.uint64), hashing.mix(x ^ _OTHER).sum(dtype=np.uint64)])
+def set_id(x: np.ndarray, text: bytes, k: int) -> tuple[int, int]:
+    """128 bits for the set x of a text, as two signed longs; for a set of few shingles, the second half is from words hashed anew."""
+    y = hashing.shingles(text, k, 1) if 0 < len(x) <= FEW else x ^ _OTHER
+    both = np.array([hashing.mix(x ^ _SALT).sum(dtype=np.uint64), hashing.mix(y).sum(dtype=np.uint64)])
     return tuple(both.view(np.int64).tolist())
 
 
@@ -104,8 +107,9 @@ def filed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             ids = b.column("doc_id").to_pylist()
             n, c1, c2, keys = [], [], [], []
             for doc, t in zip(ids, b.column("text"), strict=True):
-                x = hashing.shingles((t.as_py() or "").encode("utf-8", "surrogatepass"), k)
-                c = set_id(x)
+                text = (t.as_py() or "").encode("utf-8", "surrogatepass")
+                x = hashing.shingles(text, k)
+                c = set_id(x, text, k)
                 n.append(len(x))
                 c1.append(c[0])
                 c2.append(c[1])
@@ -145,8 +149,9 @@ class _Sets:
     def __init__(self, rows: list[tuple[int, int, int, str]], k: int) -> None:
         held = {}
         for rep, w1, w2, text in rows:
-            x = hashing.shingles((text or "").encode("utf-8", "surrogatepass"), k)
-            if set_id(x) == (w1, w2):  # else another row of the same id, of another class
+            data = (text or "").encode("utf-8", "surrogatepass")
+            x = hashing.shingles(data, k)
+            if set_id(x, data, k) == (w1, w2):  # else another row of the same id, of another class
                 held[rep] = x
         held = dict(sorted(held.items(), key=lambda r: (len(r[1]), r[0])))
         self.ids, self.arrays = list(held), list(held.values())
@@ -243,8 +248,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     stars = entries.repartition("key").sortWithinPartitions("key", "c").mapInArrow(_stars, "a long, b long")
     clusters = components(stars)
     members = classes.join(clusters, F.col("c1") == F.col("node")).select(F.col("component").alias("cluster"), "rep", F.col("c1").alias("w1"), F.col("c2").alias("w2"), "n")
-    tiles = stored(_tiles(stored(members, "members"), num, den), "tiles")
+    members = stored(members, "members")
+    tiles = stored(_tiles(members, num, den), "tiles")
     links = stored(_compared(docs.join(tiles.hint("merge"), F.col("doc_id") == F.col("rep")), k, num, den), "links")
+    forget(members)
+    forget(tiles)
     found = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("comp"))
     own = rows.select("doc_id", F.col("n").alias("n_shingles"), "c1", "c2")
@@ -254,14 +262,23 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """docs, with of each component only the row of the least id; rows without an id stay; of rows that share an id one stays."""
-    kept = join(docs, k, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    """docs, with of each component only the row of the least id; rows without an id stay.
+
+    Rows that share an id and the text count as one, of which one stays. Rows that share an id alone are
+    documents of their own: each is known by a hash of id and text.
+    """
     own = docs.columns
-    boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col("doc_id").alias("id"))
-    named = boxed.join(kept, F.col("id") == F.col("kept_id"), "left_semi")
-    if not docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        named = named.dropDuplicates(["id"])
-    return named.unionByName(boxed.where("id is null")).select("row.*")
+    boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
+    nameless = boxed.where("id is null").select("row.*")
+    shared = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", F.lit(True).alias("many"))
+    if shared.isEmpty():
+        kept = join(docs, k, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
+        return boxed.join(kept, F.col("id") == F.col("kept_id"), "left_semi").select("row.*").unionByName(nameless)
+    node = F.when(F.col("many"), F.xxhash64("id", "text")).otherwise(F.col("id"))
+    boxed = stored(boxed.where("id is not null").join(shared, "id", "left").withColumn("node", node).drop("many").dropDuplicates(["id", "node"]), "boxed")
+    found = join(boxed.select(F.col("node").alias("doc_id"), "text"), k, num, den)
+    kept = boxed.select("id", "node").join(found, F.col("node") == F.col("doc_id")).groupBy("component_id").agg(F.min(F.struct("id", "node")).alias("m")).select(F.col("m.node").alias("kept_id"))
+    return boxed.join(kept, F.col("node") == F.col("kept_id"), "left_semi").select("row.*").unionByName(nameless)
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clustrel.llm import hashing
 from clustrel.llm.common import documents
 
 CHUNK = 128
@@ -250,8 +251,6 @@ class Counter:
 class Tokens:
     """Counts of whole texts."""
 
-    BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
 
@@ -268,12 +267,6 @@ class Tokens:
         self.classes = np.full(0x110000, 255, np.uint8)
         self.keys = np.zeros(PLACES, np.uint64)
         self.counts = np.zeros(PLACES, np.int32)
-        power = np.full(BATCH + 1, self.BASE, np.uint64)
-        power[0] = 1
-        self.power = np.cumprod(power, dtype=np.uint64)
-        inverse = np.uint64(pow(int(self.BASE), -1, 1 << 64))
-        power[1:] = inverse
-        self.inverse = np.cumprod(power, dtype=np.uint64)
 
     def learn(self, points: np.ndarray) -> None:
         """Ask the library for the classes of characters not met before."""
@@ -296,49 +289,36 @@ class Tokens:
         seq = np.full(len(text), END, np.uint8)
         seq[text] = self.classes[points]
         starts = np.flatnonzero(piece_starts(seq))
-        whole = "".join(s + "\0" for s in segments)
         stops = np.append(starts[1:], len(seq))
         real = text[starts]
         starts, stops = starts[real], stops[real]
-        code = np.zeros(len(seq) + 1, np.uint64)
-        code[1:][text] = points
-        code[1:] += np.uint64(1)
         owner = owners[np.searchsorted(ends, starts)]
+        whole = np.frombuffer("\0".join([*segments, ""]).encode("utf-8", "surrogatepass"), np.uint8)
+        size = np.ones(len(seq) + 1, np.int64)  # bytes of each character, then where each begins
+        size[:-1][text] += (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        begins = np.cumsum(size) - size
+        starts, stops = begins[starts], begins[stops]
         out = np.zeros(n, np.int64)
         for lo in range(0, len(starts), BATCH // 4):  # a batch of very long segments goes by in parts
-            np.add.at(out, owner[lo : lo + BATCH // 4], self.of_pieces(whole, code, starts[lo : lo + BATCH // 4], stops[lo : lo + BATCH // 4]))
+            np.add.at(out, owner[lo : lo + BATCH // 4], self.of_pieces(whole, starts[lo : lo + BATCH // 4], stops[lo : lo + BATCH // 4]))
         return out
 
-    def of_pieces(self, whole: str, code: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    def of_pieces(self, whole: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Tokens of each piece, a span of bytes."""
         if not len(starts):
             return np.zeros(0, np.int64)
-        base, top = int(starts[0]), int(stops[-1])
-        if top - base > BATCH:  # a piece or run longer than the powers at hand: each by itself
-            if len(starts) > 1:
-                half = len(starts) // 2
-                return np.concatenate([self.of_pieces(whole, code, starts[:half], stops[:half]), self.of_pieces(whole, code, starts[half:], stops[half:])])
-            return np.array(self.counter.count_all([whole[base:top].encode("utf-8", "surrogatepass")]), np.int64)
-        sums = np.zeros(top - base + 1, np.uint64)
-        np.cumsum(code[base + 1 : top + 1] * self.power[: top - base], out=sums[1:])
-        h = (sums[stops - base] - sums[starts - base]) * self.inverse[starts - base]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        h |= np.uint64(1)  # 0 marks an empty place
+        h = hashing.hashes(whole, starts, stops) | np.uint64(1)  # 0 marks an empty place
         distinct, first, of = np.unique(h, return_index=True, return_inverse=True)
         place = (distinct >> np.uint64(20)) & np.uint64(PLACES - 1)
         counts = self.counts[place].astype(np.int64)
         new = np.flatnonzero(self.keys[place] != distinct)
         if len(new):
             spans = zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)
-            counts[new] = self.counter.count_all([whole[a:b].encode("utf-8", "surrogatepass") for a, b in spans])
-            self.keys[place[new]], self.counts[place[new]] = distinct[new], counts[new]
-            twice = np.flatnonzero(self.keys[place] != distinct)  # places that two pieces of this batch share
-            if len(twice):  # whichever was written last must have its own count
-                self.counts[place[new]] = 0
-                self.keys[place[new]] = 0
-                one = np.unique(place[new], return_index=True)[1]
-                self.keys[place[new[one]]], self.counts[place[new[one]]] = distinct[new[one]], counts[new[one]]
+            counts[new] = self.counter.count_all([whole[a:b].tobytes() for a, b in spans])
+            self.counts[place[new]] = 0
+            self.keys[place[new]] = 0
+            one = np.unique(place[new], return_index=True)[1]  # of pieces that share a place one stays
+            self.keys[place[new[one]]], self.counts[place[new[one]]] = distinct[new[one]], counts[new[one]]
         return counts[of]
 
     def counts_of(self, texts: list[str | None]) -> np.ndarray:
