@@ -6,8 +6,9 @@ and position stays; at all later places its three lines are covered. Covered lin
 windows, go. Only DataFrame functions are used.
 
 Edge cases: a null text stays null; a text of fewer than three lines with words has no window and stays;
-a text whose lines are all covered becomes an empty one; lines without words stay; rows that share an id are
-one document, cleaned alike; rows without an id pass unchanged; an empty table stays empty; other columns pass
+a text whose lines are all covered becomes an empty one; lines without words stay; rows that share
+id and text are one document, cleaned alike, and rows that share an id alone are documents of their own, in
+the order of a digest of the text; rows without an id pass unchanged; an empty table stays empty; other columns pass
 through, but for those named as the columns that are added.
 """
 
@@ -27,32 +28,32 @@ def _lines(text: Column) -> Column:
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """doc_id, at, h1, h2: a row for every window of docs(doc_id, text)."""
+    """doc_id, d, at, h1, h2: a row for every window of docs(doc_id, text); d is a digest of the text, which tells rows of one id apart."""
     full = docs.where("doc_id is not null and text is not null")
-    full = full.select("doc_id", F.filter(_lines(F.col("text")), lambda x: x.rlike(_WORD)).alias("ls")).where(F.size("ls") >= SPAN)
+    full = full.select("doc_id", F.xxhash64("text").alias("d"), F.filter(_lines(F.col("text")), lambda x: x.rlike(_WORD)).alias("ls")).where(F.size("ls") >= SPAN)
     parts = lambda i: [F.get(F.col("ls"), i + k) for k in range(SPAN)]
     hashed = F.transform(F.sequence(F.lit(0), F.size("ls") - SPAN), lambda i: F.struct(F.xxhash64(*parts(i)).alias("h1"), F.xxhash64(F.lit(7), *parts(i)[::-1]).alias("h2")))
-    return full.select("doc_id", F.posexplode(hashed).alias("at", "h")).select("doc_id", "at", "h.h1", "h.h2")
+    return full.select("doc_id", "d", F.posexplode(hashed).alias("at", "h")).select("doc_id", "d", "at", "h.h1", "h.h2")
 
 
 def later(wins: DataFrame) -> DataFrame:
-    """doc_id, starts: the windows of each document that have an earlier place elsewhere."""
-    firsts = wins.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    hits = wins.join(firsts, ["h1", "h2"]).where(F.struct("doc_id", "at") > F.col("first"))
-    return hits.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
+    """doc_id, d, starts: the windows of each document that have an earlier place elsewhere."""
+    firsts = wins.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "d", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    hits = wins.join(firsts, ["h1", "h2"]).where(F.struct("doc_id", "d", "at") > F.col("first"))
+    return hits.groupBy("doc_id", "d").agg(F.collect_set("at").alias("starts"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the text cleaned, and the columns n_lines (lines with words) and n_removed.
 
-    A windows row is 28 bytes; the shuffle by hash sums up on the map side first, so that a window
+    A windows row is 36 bytes; the shuffle by hash sums up on the map side first, so that a window
     with very many places isn't gathered, and the join of the windows with the repeated ones is
     left to adaptive skew splitting.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    hits = later(windows(docs.select("doc_id", "text"))).withColumnRenamed("doc_id", "hit")
-    boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col("doc_id").alias("id"))
-    x = boxed.join(hits, F.col("id") == F.col("hit"), "left").withColumn("ls", _lines(F.col("row.text")))
+    hits = later(windows(docs.select("doc_id", "text"))).select(F.col("doc_id").alias("hit"), F.col("d").alias("hit_d"), "starts")
+    boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("d"))
+    x = boxed.join(hits, (F.col("id") == F.col("hit")) & (F.col("d") == F.col("hit_d")), "left").withColumn("ls", _lines(F.col("row.text")))
     x = x.withColumn("full", F.filter(F.sequence(F.lit(0), F.size("ls") - 1), lambda i: F.get(F.col("ls"), i).rlike(_WORD)))
     near = F.flatten(F.transform("starts", lambda s: F.array(*(F.get(F.col("full"), s + k) for k in range(SPAN)))))
     x = x.withColumn("gone", F.when(F.col("starts").isNotNull(), F.array_distinct(near)))
