@@ -92,8 +92,7 @@ class Index:
             self.words.append(h.tolist())
             if len(h) < SHORT:
                 continue
-            # All grams of a template are filed, so that the text's choice of fingerprints alone decides.
-            posts += [(int(x), k, i) for i, x in enumerate(hashing.grams(h, GRAM))]
+            posts += [(int(x), k, int(i)) for x, i in zip(*fingerprints(h), strict=True)]
         posts.sort()
         self.keys, self.first = np.unique(np.array([p[0] for p in posts], np.uint64), return_index=True)
         self.first = np.append(self.first, len(posts))

@@ -59,15 +59,20 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
     return per.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("final") * F.col("w")).alias("target"))
 
 
-def mix(sized: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2) -> DataFrame:
-    """sized(doc_id, source, size, weight) with source_size, target and taken: the words the mix takes of it."""
-    per = targets(sized, weights, share, max_epochs)
+def mix(sized: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2, measured: DataFrame | None = None) -> DataFrame:
+    """sized(doc_id, source, size, weight) with source_size, target and taken: the words the mix takes of it.
+
+    measured: the same rows in those four columns, from a cheaper place, for the sums.
+    """
+    few = measured if measured is not None else sized
+    per = targets(few, weights, share, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     per = per.withColumn("epochs", epochs)
     per = per.withColumn("budget", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
     key = -F.log(uniform(F.col("doc_id"))) / F.col("weight")
-    keyed = sized.withColumn("key", key).withColumn("bucket", F.floor(BUCKETS * F.col("key") / (1 + F.col("key"))).cast("int"))
-    sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
+    with_key = lambda x: x.withColumn("key", key).withColumn("bucket", F.floor(BUCKETS * F.col("key") / (1 + F.col("key"))).cast("int"))
+    keyed = with_key(sized)
+    sums = with_key(few).groupBy("source", "bucket").agg(F.sum("size").alias("held"))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("held").over(upto), F.lit(0)))
     ends = (
@@ -98,7 +103,8 @@ def apply_mix(docs: DataFrame) -> DataFrame:
     own = docs.columns
     boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"))
     boxed = boxed.withColumn("weight", quality_weight(F.col("row.text"), F.col("size")))
-    rows = filtered(mix(boxed), F.col("taken") > 0)
+    sizes = stored(boxed.drop("row"), "mix")
+    rows = filtered(mix(boxed, measured=sizes), F.col("taken") > 0)
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
     rows = rows.select("row", "size", F.explode(F.transform(F.sequence(F.lit(0), copies - 1), lambda i: F.least(F.col("size"), F.col("taken") - i * F.col("size")))).alias("part"))
     text = F.when(F.col("part") == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.slice(words(F.col("row.text")), 1, F.col("part").cast("int")), " "))

@@ -9,8 +9,10 @@ each bin shrinks to the least permitted capacity that holds its contents. Capaci
 pieces of all lengths compete for the same open bins.
 
 Edge cases: documents without words get one row of length 0 in no bin (block, bin null, capacity 0); a null
-text is an empty one; repeated rows are packed each for itself; ties go by id, then piece; an empty table
-gives no rows; other columns aren't read.
+text is an empty one; repeated rows are packed each for itself; ties go by id, then piece; rows without an
+id are packed like others; an empty table gives no rows; other columns aren't read. Rows are dealt to blocks
+by their place in the input, so that copies spread: the same files in the same partitions give the same
+packing, another layout another one of like quality.
 """
 
 from __future__ import annotations

@@ -2,7 +2,8 @@
 
 Texts become a few numeric features; each feature's range is cut at quantiles into bins. Shallow trees,
 grown in turn on one feature at a time, add small steps to that feature's lookup table, round after round;
-then the pairs of features that explain most of what is left get tables of their own in the same way. A score
+then the pairs of features that explain most of what is left get tables of their own, by shallow trees
+that cut along one of the two and, on each side, along the other. A score
 is the logistic of an intercept and the sums of the tables' entries at the row's bins, so scoring is a few
 additions per row over whole arrays.
 
@@ -105,6 +106,33 @@ def _tree(grad: np.ndarray, hess: np.ndarray, leaves: int, least: float) -> np.n
     return step
 
 
+def _pair_tree(grad: np.ndarray, hess: np.ndarray, least: float) -> np.ndarray:
+    """A shallow tree over the cells of two features: one cut along either feature, then a cut of its own on each side along the other."""
+    value = lambda g, h: g * g / (h + 1.0)
+    best, step = 1e-9, np.zeros_like(grad)
+    for turned in (False, True):
+        g, h = (grad.T, hess.T) if turned else (grad, hess)
+        halves = []
+        for flip in (1, -1):  # sums of the rows before each cut, and of those after it
+            gs, hs = (np.cumsum(x[::flip], axis=0)[:-1][::flip] for x in (g, h))
+            gc, hc = np.cumsum(gs, axis=1), np.cumsum(hs, axis=1)
+            gain = value(gc, hc) + value(gc[:, -1:] - gc, hc[:, -1:] - hc)
+            gain[:, :-1][(hc[:, :-1] < least) | (hc[:, -1:] - hc[:, :-1] < least)] = -np.inf
+            halves.append((gain.argmax(axis=1), gain.max(axis=1)))  # a cut after the last cell is none
+        if not len(halves[0][0]):
+            continue
+        total = halves[0][1] + halves[1][1] - value(g.sum(), h.sum())
+        at = int(total.argmax())
+        if total[at] > best:
+            best, out = total[at], np.zeros_like(g)
+            for rows, (cuts, _) in zip((slice(0, at + 1), slice(at + 1, None)), halves, strict=True):
+                for cells in (slice(0, cuts[at] + 1), slice(cuts[at] + 1, None)):
+                    if g[rows, cells].size:
+                        out[rows, cells] = g[rows, cells].sum() / (h[rows, cells].sum() + 1.0)
+            step = out.T if turned else out
+    return step
+
+
 class Additive:
     """Lookup tables by feature and by pair of features."""
 
@@ -141,12 +169,13 @@ class Additive:
 
         chosen = sorted(combinations(range(x.shape[1]), 2), key=gain, reverse=True)[: self.n_pairs]
         self.pairs = {ij: np.zeros(size(*ij)) for ij in chosen}
-        for _ in range(self.rounds // 3):
+        for _ in range(self.rounds):
             for ij, table in self.pairs.items():
                 r = _sigmoid(z)
                 b = cell(*ij)
                 g, h = np.bincount(b, y - r, len(table)), np.bincount(b, r * (1 - r), len(table))
-                step = self.rate * g / (h + 4.0)
+                shape = (len(self.coarse[ij[0]]) + 1, len(self.coarse[ij[1]]) + 1)
+                step = self.rate * _pair_tree(g.reshape(shape), h.reshape(shape), 1.0).ravel()
                 table += step
                 z += step[b]
         return self

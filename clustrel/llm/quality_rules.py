@@ -51,11 +51,14 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Windows are compared by a 64-bit hash within one text.
     """
-    w, win = "__w", "__win"
+    mark = "__"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    w, win, kept_lines, letters, twice, ordered, starts = (mark + n for n in ("words", "windows", "lines", "chars", "dups", "sorted", "starts"))
     own = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(own, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = docs.drop(*(m for m in MEASURES if m in docs.columns))
-    out = out.withColumns({w: words(F.col(text)), "__lines": lines})
+    out = out.withColumns({w: words(F.col(text)), kept_lines: lines})
     hashes = F.when(
         F.size(w) >= WINDOW,
         F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*(F.get(F.col(w), i + k) for k in range(WINDOW)))),
@@ -63,28 +66,28 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     chars = F.array_join(w, "")
     out = out.withColumns({
         "n_words": F.size(w).cast("long"),
-        "__chars": chars,
-        "n_lines": F.size("__lines").cast("long"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+        letters: chars,
+        "n_lines": F.size(kept_lines).cast("long"),
+        "n_dup_lines": (F.size(kept_lines) - F.size(F.array_distinct(kept_lines))).cast("long"),
         win: hashes,
-    }).drop("__lines")
-    count = lambda pattern: F.regexp_count(F.col("__chars"), F.lit(pattern)).cast("long")
+    }).drop(kept_lines)
+    count = lambda pattern: F.regexp_count(F.col(letters), F.lit(pattern)).cast("long")
     out = out.withColumns({
-        "word_chars": F.char_length("__chars").cast("long"),
+        "word_chars": F.char_length(letters).cast("long"),
         "n_symbols": count(r"[#*$%&|<>]"),
         "n_capitals": count(r"[A-Z]"),
         "n_digits": count(r"[0-9]"),
-        "__dups": F.size(F.array_distinct(win)) < F.size(win),
-    }).drop(w, "__chars")
-    out = out.withColumn("__sorted", F.when(F.col("__dups"), F.array_sort(F.transform(win, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop(win)
-    out = out.withColumn("__starts", F.when(F.col("__dups"), _repeated(F.col("__sorted")))).drop("__sorted")
+        twice: F.size(F.array_distinct(win)) < F.size(win),
+    }).drop(w, letters)
+    out = out.withColumn(ordered, F.when(F.col(twice), F.array_sort(F.transform(win, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop(win)
+    out = out.withColumn(starts, F.when(F.col(twice), _repeated(F.col(ordered)))).drop(ordered)
     covered = F.aggregate(
-        F.sequence(F.lit(1), F.size("__starts") - 1),
+        F.sequence(F.lit(1), F.size(starts) - 1),
         F.lit(WINDOW),
-        lambda n, i: n + F.least(F.lit(WINDOW), F.get(F.col("__starts"), i) - F.get(F.col("__starts"), i - 1)),
+        lambda n, i: n + F.least(F.lit(WINDOW), F.get(F.col(starts), i) - F.get(F.col(starts), i - 1)),
     )
-    out = out.withColumn("n_repeat_words", F.when(F.col("__dups"), covered).otherwise(0).cast("long"))
-    return out.drop("__starts", "__dups")
+    out = out.withColumn("n_repeat_words", F.when(F.col(twice), covered).otherwise(0).cast("long"))
+    return out.drop(starts, twice)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:

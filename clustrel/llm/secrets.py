@@ -2,10 +2,12 @@
 
 Three kinds of spans come from fixed patterns (assign, access, hex). The kind ``literal`` comes from lexing
 assignments in source and configuration syntax (``name = "x"``, ``name: x``, ``"name": "x"``, ``name => x``,
-``export NAME=x``, ``obj.name = x``, ``obj["name"] = x``, ``name="x"`` in tags): each gives a name and an
-expression of literals and names joined by ``+`` or ``.``. A name that was assigned earlier stands for its
+``export NAME=x``, ``obj.name = x``, ``obj["name"] = x``, ``name ?= x``, ``#define NAME x``, ``<name>x</name>``,
+``name="x"`` in tags, lists in brackets, blocks of YAML, strings in three quotes, ``new String("x")``): each
+gives a name and an expression of literals and names joined by ``+`` or ``..``. A name that was assigned earlier stands for its
 literals, so that a constant under a plain name is found where it reaches a sensitive one. A literal's score
-is the sensitivity of the target name times what its characters say against a word or a placeholder.
+is the sensitivity of the target name times what its characters say against a word or a placeholder. A literal
+within a base span makes no span of its own: it gives that span its target's name and its score (0 without one).
 
 Spans are in code points, end exclusive, ordered by start, then kind. Edge cases: a null or empty text has no
 spans; texts are read whole, at any length; every row is scanned for itself, so ties, repeated rows and empty
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -47,19 +50,27 @@ _ROOTS = tuple(w for w in SENSITIVE if not any(o != w and o in w for o in SENSIT
 _BASE_ROOTS = ("passw", "secret", "token", "api")
 _HEX_BYTE = np.zeros(256, bool)
 _HEX_BYTE[list(b"0123456789abcdef")] = True
-_STRING = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
+_STRING = r"\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
 _SITE = re.compile(
-    rf"""(?:(?<![\w.])|(?<=\[))(?P<q>["']?)(?P<name>[A-Za-z_][\w.-]*(?:\[["'][\w.-]+["']\])*)(?P=q)[\x20\t]*(?::=|=>|=(?!=)|:(?!:|//))[\x20\t]*(?=[^\s=])""",
-    re.A,
+    r"""(?:(?<![\w.])|(?<=\[))(?P<q>["']?)(?P<name>[A-Za-z_][\w.-]*(?:\[["'][\w.-]+["']\])*)(?P=q)[\x20\t]*(?:[:?]=|=>|=(?!=)|:(?!:|//))[\x20\t]*(?=[^\s=])
+    |\#[\x20\t]*define[\x20\t]+(?P<macro>[A-Za-z_]\w*)[\x20\t]+(?=\S)
+    |<(?P<tag>[A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>(?=[^<\s])""",
+    re.A | re.X,
 )
-_TERM = re.compile(rf"(?P<s>{_STRING})|(?P<n>[A-Za-z_][\w.]*(?![\w.+/=-]*[0-9+/=-]))|(?P<b>[A-Za-z0-9+/_.=~!@#%^&*-]+)", re.A)
+_TERM = re.compile(rf"(?P<s>{_STRING})|(?:new[\x20\t]+[A-Za-z_][\w.]*\((?=[\"'`]))|(?P<n>[A-Za-z_][\w.]*(?![\w.+/=-]*[0-9+/=~!@#%^&*-]))|(?P<b>[A-Za-z0-9+/_.=~!@#%^&*-]+)", re.A)
 _JOIN = re.compile(r"[\x20\t]*(?:\+|\.\.)[\x20\t]*")
+_COMMA = re.compile(r"\s*,\s*")
+_LIST = re.compile(r"\[\s*")
+#: A block of lines after a name in YAML: its first line is the value.
+_BLOCK = re.compile(r"[|>][+-]?[\x20\t]*\n[\x20\t]+(?=\S)")
+_TAGGED = re.compile(r"[^<\n]+")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
 def sensitivity(name: str) -> float:
     """How likely a name is that of a secret: by its parts in snake, dotted or camel case."""
     parts = [p.lower() for p in _PARTS.findall(name)]
+    parts = [p[:-1] if p.endswith("s") and p not in SENSITIVE else p for p in parts]
     parts += [a + b for a, b in zip(parts, parts[1:], strict=False)]
     return max((SENSITIVE.get(p, 0.0) for p in parts), default=0.0)
 
@@ -98,18 +109,31 @@ def assignments(text: str) -> Iterator[tuple[str, Reach]]:
     """Each assigned name and what reaches it, constants of earlier assignments included."""
     constants: dict[str, Reach] = {}
     for site in _SITE.finditer(text):
-        name, at, own, taken = site["name"], site.end(), [], []
+        name, at, own, taken = site["name"] or site["macro"] or site["tag"], site.end(), [], []
+        if site["tag"]:
+            value = _TAGGED.match(text, at)
+            own.append((*value.span(), value[0]))
+            yield name, Reach(own, taken)
+            continue
+        join = _JOIN
+        if opened := _LIST.match(text, at):
+            at, join = opened.end(), _COMMA
+        elif block := _BLOCK.match(text, at):
+            at = block.end()
         while term := _TERM.match(text, at):
             at = term.end()
             if term["s"] is not None:
-                own.append((term.start() + 1, term.end() - 1, term["s"][1:-1]))
+                edge = 3 if term["s"][:3] in ('"""', "'''") and len(term["s"]) >= 6 else 1
+                own.append((term.start() + edge, term.end() - edge, term["s"][edge:-edge]))
             elif term["n"] is not None and term["n"] in constants:
                 taken.append(constants[term["n"]])
+            elif term["n"] is None and term["b"] is None:
+                continue  # the call of a constructor: its first argument follows
             elif term["n"] is None or not text.startswith("(", at):
                 start, end = term.span()
                 bare = term[0].rstrip(".,;")
                 own.append((start, end - (len(term[0]) - len(bare)), bare))
-            if not (more := _JOIN.match(text, at)):
+            if not (more := join.match(text, at)):
                 break
             at = more.end()
         if own or taken:
@@ -138,17 +162,24 @@ def scan(text: str | None) -> list[dict]:
     low = text.lower()
     base: list[tuple] = []
     if any(r in low for r in _BASE_ROOTS):
-        base += [("assign", m.start(), m.end(), m[1], 1.0) for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_VALUE]
-    base += [("access", *m.span(), "", 1.0) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
+        base += [("assign", m.start(), m.end(), m[1], 0.0) for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_VALUE]
+    base += [("access", *m.span(), "", 0.0) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     if may_have_hex(text):
-        base += [("hex", *m.span(), "", 1.0) for m in HEX.finditer(text)]
+        base += [("hex", *m.span(), "", 0.0) for m in HEX.finditer(text)]
     more: dict[tuple[int, int], tuple] = {}
     if any(r in low for r in _ROOTS):
-        held = [(a, b) for kind, a, b, _, _ in base if kind != "hex"]
+        held = sorted((a, b, k) for k, (kind, a, b, _, _) in enumerate(base) if kind != "hex")
         targets = [(weight, name, reach) for name, reach in assignments(text) if (weight := sensitivity(name))]
         for weight, name, (start, end, value) in reaching(targets):
             score = weight * strength(value)
-            if score >= THRESHOLD and not any(a <= start and end <= b for a, b in held) and score > more.get((start, end), (0.0,))[-1]:
+            if score < THRESHOLD:
+                continue
+            k = bisect_right(held, (start, math.inf)) - 1
+            around = [held[j] for j in (k - 1, k) if j >= 0 and held[j][0] <= start and end <= held[j][1]]
+            for _, _, j in around:  # a base span keeps its place, and bears the target's name and the literal's score
+                if base[j][4] < score or not base[j][3]:
+                    base[j] = (*base[j][:3], name, score)
+            if not around and score > more.get((start, end), (0.0,))[-1]:
                 more[start, end] = ("literal", start, end, name, score)
     found = sorted([*base, *more.values()], key=lambda s: (s[1], KINDS.index(s[0])))
     return [dict(zip(("kind", "start", "end", "name", "score"), s, strict=True)) for s in found]
@@ -180,4 +211,7 @@ def op3_secrets(spark, sf_dir: str) -> DataFrame:
         F.sha2(text(of(*KINDS[:3])), 256).alias("base_sha256"),
         text(F.col("spans")).alias("spans"),
         F.size(of("literal")).cast("long").alias("n_literal"),
+        F.size(F.filter("spans", lambda s: s["score"] > 0)).cast("long").alias("n_scored"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter("spans", lambda s: s["score"] > 0), lambda s: s["name"]))), ",").alias("names"),
+        F.coalesce(F.round(F.array_max(F.transform("spans", lambda s: s["score"])), 6), F.lit(0.0)).alias("top_score"),
     )
