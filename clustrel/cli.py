@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import SparkSession
 
@@ -19,17 +20,19 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--seed", type=int, default=42)
     p.add_argument("--restarts", type=int, default=8)
     p.add_argument("--max-nodes", type=int, default=200)
-    p.add_argument("--output", help="folder for the assignment, as JSON")
+    p.add_argument("--output", help="file for the result and the assignment, as JSON")
+    p.add_argument("--max-columns", type=int, default=25, help="columns that may enter in a round")
     p.add_argument("--quiet", action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("clustrel").getOrCreate()
     cols = [int(c) for c in a.cols.split(",")] if a.cols else None
     rows = {"csv": lambda: src.read_csv(spark, a.data, cols), "tsplib": lambda: src.read_tsplib(spark, a.data), "parquet": lambda: src.read_vectors(spark, a.data)}[a.format]()
-    one, each = solver.as_frames(spark, solver.solve(rows, a.k, a.restarts, a.seed, a.max_nodes))
+    result = solver.solve(rows, a.k, a.restarts, a.seed, a.max_nodes, batch=a.max_columns)
     if not a.quiet:
-        one.show(truncate=False)
+        solver.as_frames(spark, result)[0].show(truncate=False)
     if a.output:
-        src.write_json(each, a.output)
+        with open(a.output, "w", encoding="utf-8") as f:
+            json.dump(solver.as_dict(result), f)
     return 0
 
 

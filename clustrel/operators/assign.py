@@ -73,9 +73,12 @@ def cluster_costs(labelled: DataFrame, dim: int | None = None) -> DataFrame:
 def huygens_costs(labelled: DataFrame, dim: int | None = None) -> DataFrame:
     """cluster, cost by the pair form: the sum of squared distances of all pairs over the size.
 
-    The pair sum is taken from sums by dimension, n * sum(v * v) - sum(v) ** 2, so no pair is made.
+    The pair sum is taken from sums by dimension, n * sum(v * v) - sum(v) ** 2, so no pair is made; values are
+    taken from their mean over all clusters first, so that points far from the origin lose no digits.
     """
-    per = labelled.select("cluster", F.posexplode("features").alias("dim", "v")).groupBy("cluster", "dim")
+    long = labelled.select("cluster", F.posexplode("features").alias("dim", "v"))
+    mean = long.groupBy("dim").agg(F.avg("v").alias("mean"))  # one row per dimension
+    per = long.join(F.broadcast(mean), "dim").withColumn("v", F.col("v") - F.col("mean")).groupBy("cluster", "dim")
     per = per.agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) * F.sum(F.col("v") * F.col("v")) - F.sum("v") * F.sum("v")).alias("p"))
     return per.groupBy("cluster").agg((F.sum("p") / F.max("n")).alias("cost"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clustrel.operators.assign import cluster_costs
+from clustrel.operators.graph import kept
 
 EPS = 1e-4
 
@@ -98,7 +99,8 @@ def same_components(pairs: DataFrame) -> DataFrame:
     lab = arcs.select(F.col("i").alias("id")).distinct().withColumn("component", F.col("id"))
     while True:
         near = arcs.join(lab.select(F.col("id").alias("j"), F.col("component").alias("c")), "j").groupBy(F.col("i").alias("id")).agg(F.min("c").alias("c"))
-        new = lab.join(near, "id").select("id", F.least("component", "c").alias("component"), (F.col("c") < F.col("component")).alias("moved")).checkpoint()
+        new = lab.join(near, "id").select("id", F.least("component", "c").alias("component"), (F.col("c") < F.col("component")).alias("moved"))
+        new = kept(new)
         lab = new.select("id", "component")
         if new.where("moved").isEmpty():
             return lab

@@ -58,8 +58,9 @@ def contract(x: np.ndarray, lam: np.ndarray, same: list[tuple[int, int]], diff:
 def neighbourhoods(items: Items, tol: float = 1e-10) -> list[np.ndarray]:
     """For each item, those after it by (degree, number) that a set of use with it could hold."""
     r = np.sqrt(np.maximum(items.lam - items.inner, 0) / items.weight)
-    d = np.sqrt(((items.mean[:, None] - items.mean[None]) ** 2).sum(-1)) if len(r) <= 400 else np.sqrt(np.maximum((items.mean**2).sum(1)[:, None] - 2 * items.mean @ items.mean.T + (items.mean**2).sum(1), 0))
-    near = d <= r[:, None] + r + max(tol, 1e-7)
+    near = np.zeros((len(r), len(r)), bool)
+    for k in range(len(r)):  # a row at a time: memory stays that of the result
+        near[k] = np.sqrt(((items.mean - items.mean[k]) ** 2).sum(1)) <= r[k] + r + tol
     np.fill_diagonal(near, False)
     for a, b in items.apart:
         near[a, b] = near[b, a] = False
@@ -121,17 +122,25 @@ def price(spark: SparkSession, items: Items, limit: int = 2000) -> pd.DataFrame:
     return out.sort_values("seed", ignore_index=True)
 
 
-def fixed_point(x: np.ndarray, lam: np.ndarray, seed: int, steps: int = 15) -> tuple[float, list[int]]:
-    """A quick guess: the points whose dual exceeds their distance to the centre, and their mean, in turn from a point."""
-    c, held = x[seed], np.zeros(len(x), bool)
-    for _ in range(steps):
-        new = lam > ((x - c) ** 2).sum(1)
-        new[seed] = True
-        if (new == held).all():
-            break
-        held = new
-        c = x[held].mean(0)
-    return float(((x[held] - x[held].mean(0)) ** 2).sum() - lam[held].sum()), np.flatnonzero(held).tolist()
+def quick(items: Items) -> pd.DataFrame:
+    """Sets found from each item by fixed points, without proof: SCHEMA less bound, exact. Items that mustn't meet don't: of such a pair the one farther from the centre goes."""
+    rows = []
+    for s in range(len(items.weight)):
+        c, held = items.mean[s], None
+        for _ in range(15):
+            gain = items.lam - items.inner - items.weight * ((items.mean - c) ** 2).sum(1)
+            new = gain > 0
+            new[s] = True
+            for a, b in items.apart:
+                if new[a] and new[b]:
+                    new[b if a == s or (b != s and gain[a] >= gain[b]) else a] = False
+            if held is not None and (new == held).all():
+                break
+            held = new
+            c = np.average(items.mean[held], axis=0, weights=items.weight[held])
+        value = float((items.inner[held] + items.weight[held] * ((items.mean[held] - c) ** 2).sum(1) - items.lam[held]).sum())
+        rows.append((s, sorted(p for t in np.flatnonzero(held).tolist() for p in items.members[t]), value))
+    return pd.DataFrame(rows, columns=["seed", "members", "value"]).drop_duplicates("value", ignore_index=True)
 
 
 def lower_bounds(nodes: DataFrame, later: DataFrame) -> DataFrame:

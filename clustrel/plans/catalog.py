@@ -6,7 +6,6 @@ own centroid, so that all queries are fixed by the data.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from clustrel.functions.vectors import gap_pct, plane_sq, sq_dist, sq_norm
 from clustrel.operators import assign, columns, discs, graph
+from clustrel.operators.graph import kept
 from clustrel.sources.points import read_vectors
 
 DIM, K = 64, 10
@@ -419,8 +419,6 @@ def integrality(spark, sf):
 
 @query("WITH RECURSIVE p AS (SELECT vec_id AS i, vec_id + 1 AS j FROM embeddings WHERE vec_id % 7 <> 6), a AS (SELECT i, j FROM p UNION SELECT j, i FROM p), r AS (SELECT i AS id, i AS c FROM a UNION SELECT a.j, r.c FROM r JOIN a ON a.i = r.id) SELECT id, min(c) AS component FROM r GROUP BY id")
 def same_components(spark, sf):
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="clustrel-"))
     p = _points(spark, sf).where("id % 7 <> 6").select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"))
     return columns.same_components(p)
 
@@ -497,19 +495,85 @@ def priced_columns(spark, sf):
     return spark.createDataFrame(rows, pricing.SCHEMA).select("seed", _joined("members"), "value", "bound", "exact")
 
 
+def _label_means(spark, sf) -> DataFrame:
+    """The centroids of the given clusters as points, ids as labels: few enough to be solved to proof."""
+    cents = assign.centroids(_labelled(spark, sf))
+    return cents.select(F.col("cluster").cast("long").alias("id"), F.col("center").alias("features"))
+
+
+GROUPS = 3
+# All partitions of the label means into at most GROUPS parts: label i is in part (mask / GROUPS ** i) % GROUPS.
+_ALL = f"""lbl AS (SELECT label, c, row_number() OVER (ORDER BY label) - 1 AS p, count(*) OVER () AS n FROM cen),
+msk AS (SELECT unnest(generate_series(0, ({GROUPS} ** (SELECT max(n) FROM lbl))::BIGINT - 1)) AS mask),
+din AS (SELECT mask, label, p, (mask // ({GROUPS} ** p)::BIGINT) % {GROUPS} AS part FROM msk, lbl),
+prd AS (SELECT a.p AS pa, b.p AS pb, list_distance(a.c, b.c) ** 2 AS d FROM lbl a JOIN lbl b ON a.p < b.p),
+cst AS (SELECT mask, sum(d / m) AS cost FROM (SELECT a.mask, d, s.m FROM din a JOIN din b ON a.mask = b.mask AND a.part = b.part AND a.p < b.p
+        JOIN prd ON pa = a.p AND pb = b.p JOIN (SELECT mask, part, count(*) AS m FROM din GROUP BY mask, part) s ON s.mask = a.mask AND s.part = a.part) GROUP BY mask)"""
+
+
 def _solved(spark, sf):
     from clustrel.operators import solver
 
-    return solver.as_frames(spark, solver.solve(_points(spark, sf), K, 4, max_nodes=1, most=3, limit=100, jumps=False))
+    return solver.as_frames(spark, solver.solve(_label_means(spark, sf), GROUPS, 4))
 
 
-@query()
+@query(_with(_P, _L, _C, _ALL) + "SELECT round(min(cost), 5) AS cost, round(min(cost), 5) AS bound, 0.0::DOUBLE AS gap_pct, 'optimal' AS status FROM cst")
 def bnb_result(spark, sf):
-    """Cost, certified bound and gap of a search cut short: a first node of three rounds."""
-    return _solved(spark, sf)[0]
+    """Cost, certified bound, gap and status of branch and bound over the label means; SQL tries all partitions."""
+    return _solved(spark, sf)[0].select(_r("cost", 5), _r("bound", 5), _r("gap_pct", 3), "status")
 
 
-@query()
+@query(_with(_P, _L, _C, _ALL) + "SELECT b.label::BIGINT AS id, (dense_rank() OVER (ORDER BY f) - 1)::INT AS cluster FROM (SELECT label, min(label) OVER (PARTITION BY part) AS f FROM din WHERE mask = (SELECT arg_min(mask, round(cost, 9)) FROM cst)) b")
 def bnb_assignment(spark, sf):
-    """The assignment of that search."""
+    """The assignment that branch and bound proves to be best, clusters numbered by their least id."""
     return _solved(spark, sf)[1]
+
+
+@query()
+def cg_root_bound(spark, sf):
+    """Column generation at the root alone, over the label means: the master's value, its certified bound and the cost of the best start."""
+    from clustrel.operators import heuristics, solver
+
+    points = _label_means(spark, sf)
+    _, labels, _, cost = heuristics.restarts(points, GROUPS, 4)
+    root = solver.root_bound(spark, heuristics.local(points)[1], GROUPS, labels)
+    row = [(float(cost), float(root.objective), float(root.bound), bool(root.closed), root.iterations)]
+    return spark.createDataFrame(row, "cost double, objective double, bound double, closed boolean, iterations int")
+
+
+@query(_with(_P, _L) + "SELECT label AS grp, dim::INT AS dim, round(-2 * sum(v - y), 6) AS gradient, round(sum((v - y) ** 2), 6) AS objective FROM lng JOIN (SELECT label, dim, arg_min(v, id) AS y FROM lng GROUP BY label, dim) USING (label, dim) GROUP BY label, dim")
+def subproblem_gradient(spark, sf):
+    """By label and dimension, the sum of squares to the label's first point, and its derivative there."""
+    long = _points(spark, sf).select("id", "label", F.posexplode("features").alias("dim", "v"))
+    first = long.groupBy("label", "dim").agg(F.min_by("v", "id").alias("y"))
+    x = long.join(F.broadcast(first), ["label", "dim"])
+    return x.groupBy(F.col("label").alias("grp"), "dim").agg(F.round(-2 * F.sum(F.col("v") - F.col("y")), 6).alias("gradient"), F.round(F.sum((F.col("v") - F.col("y")) ** 2), 6).alias("objective"))
+
+
+@query("SELECT count(DISTINCT label) AS n_labels FROM embeddings")
+def label_count(spark, sf):
+    return _points(spark, sf).agg(F.count_distinct("label").alias("n_labels"))
+
+
+@query(_with(_P, _L, _C, _D, _COLS) + "SELECT a.col_id::BIGINT AS a, b.col_id::BIGINT AS b, len(list_intersect(a.m, b.m))::INT AS n_both, (len(a.m) - len(list_intersect(a.m, b.m)))::INT AS n_only_a FROM col a JOIN col b ON a.col_id < 100 AND b.col_id >= 100")
+def column_overlap(spark, sf):
+    """Members that columns of two partitions have in common, and that only the first has."""
+    c = kept(_columns(spark, sf).select("col_id", "members"))
+    a, b = (c.where(w).select(F.col("col_id").alias(s), F.col("members").alias("m" + s)) for s, w in (("a", "col_id < 100"), ("b", "col_id >= 100")))
+    x = a.join(F.broadcast(b))  # one row per column of a partition into ten
+    return x.select("a", "b", F.size(F.array_intersect("ma", "mb")).alias("n_both"), F.size(F.array_except("ma", "mb")).alias("n_only_a"))
+
+
+_RC = f"rcs AS (SELECT col_id::BIGINT AS col_id, any_value(cost) + 1.5 - sum({LAM} * d2) AS rc FROM (SELECT col_id, cost, unnest(m) AS id FROM col) JOIN own USING (id) GROUP BY col_id)"
+
+
+@query(_with(_P, _L, _C, _D, _COLS, _RC) + "SELECT col_id, round(rc, 5) AS rc FROM rcs WHERE rc < -1e-6")
+def negative_columns(spark, sf):
+    """The columns that would enter the master problem."""
+    return column_reduced_cost(spark, sf).where("rc < -1e-6")
+
+
+@query(_with(_P, _L, _C, _D, _COLS, _RC) + "SELECT col_id, round(rc, 5) AS rc FROM rcs WHERE rc < -1e-6 ORDER BY round(rc, 5), col_id LIMIT 5")
+def best_columns(spark, sf):
+    """The five columns of least reduced cost among them."""
+    return negative_columns(spark, sf).orderBy("rc", "col_id").limit(5)

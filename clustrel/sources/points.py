@@ -19,11 +19,13 @@ def _numbered(lines: DataFrame) -> DataFrame:
 
 def _features(fields, cols: Sequence[int] | None, split):
     pick = fields if cols is None else F.array(*(F.get(fields, F.lit(c)) for c in cols))
-    return F.transform(pick, lambda v: v.cast("double"))
+    if cols is None:  # without a choice of columns, fields that aren't numbers are left out
+        return F.filter(F.transform(pick, lambda v: F.trim(v).try_cast("double")), lambda v: v.isNotNull())
+    return F.transform(pick, lambda v: F.trim(v).cast("double"))
 
 
 def read_csv(spark: SparkSession, path: str, cols: Sequence[int] | None = None, header: bool = False, sep: str = ",") -> DataFrame:
-    """Comma-separated points; cols picks fields by position, blank lines are skipped."""
+    """Comma-separated points; cols picks fields by position, without it all fields that are numbers are taken; blank lines are skipped."""
     lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
     numbered = _numbered(lines)
     if header:

@@ -134,6 +134,63 @@ def test_readers(spark, tmp_path):
     assert src.blobs(spark, 10, 3).count() == 9
 
 
+def test_csv_without_choice_takes_the_numbers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("h1,h2,h3\n1.0, 2.5,x\n-3e0,4,y\n")
+    got = src.read_csv(spark, str(tmp_path / "a.csv"), header=True).orderBy("id").collect()
+    assert [(r["id"], r["features"]) for r in got] == [(0, [1.0, 2.5]), (1, [-3.0, 4.0])]
+    src.write_csv(src.read_csv(spark, str(tmp_path / "a.csv"), header=True), str(tmp_path / "out"))
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["-3.0,4.0", "1.0,2.5"]
+
+
+@pytest.mark.parametrize("scale,block", [(0.02, 256), (0.3, 7), (3.0, 5)])
+def test_edges_equal_all_pairs(spark, monkeypatch, scale, block):
+    monkeypatch.setattr(graph, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(60, 3)), rng.normal(size=(20, 3)) + 50])
+    lam = rng.uniform(0, scale, 80)
+    df = spark.createDataFrame([(i, [float(v) for v in r], float(w)) for i, (r, w) in enumerate(zip(x, lam, strict=True))], "id long, features array<double>, lam double")
+    d, r = np.sqrt(((x[:, None] - x) ** 2).sum(-1)), np.sqrt(lam)
+    want = {(i, j) for i in range(80) for j in range(i + 1, 80) if d[i, j] <= r[i] + r[j] + 1e-10}
+    got = [(e["src"], e["dst"]) for e in graph.edges(df, 3).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert graph.edges(df.limit(0), 3).count() == 0
+
+
+def test_pair_costs_keep_their_digits_far_from_the_origin(spark):
+    rng = np.random.default_rng(0)
+    x, lab = rng.normal(size=(40, 2)) + 1e7, rng.integers(0, 3, 40)
+    df = frame(spark, x).join(spark.createDataFrame([(i, int(c)) for i, c in enumerate(lab)], "id long, cluster int"), "id")
+    assert assign.huygens_costs(df).agg(F.sum("cost")).first()[0] == pytest.approx(heuristics.cost_of(x, lab), rel=1e-6)
+
+
+def test_quick_pricing_finds_real_sets():
+    rng = np.random.default_rng(4)
+    x, lam = rng.normal(size=(9, 2)), rng.uniform(0, 2, 9)
+    items = pricing.contract(x, lam, [(0, 1)], [(2, 3)])
+    for r in pricing.quick(items).itertuples():
+        m = r.members
+        assert r.value == pytest.approx(((x[m] - x[m].mean(0)) ** 2).sum() - lam[m].sum())
+        assert (0 in m) == (1 in m) and not (2 in m and 3 in m)
+
+
+def test_root_bound_is_below_the_best_cost(spark):
+    x = np.random.default_rng(5).normal(size=(8, 2)) * 2
+    best = brute(x, 3)
+    root = solver.root_bound(spark, x, 3, np.arange(8) % 3)
+    assert root.closed and root.bound <= best + 1e-6 and root.bound == pytest.approx(root.objective, abs=1e-5)
+
+
+def test_command_line_writes_the_whole_result(spark, tmp_path):
+    import json
+
+    from clustrel import cli
+
+    (tmp_path / "a.csv").write_text("0,0\n0,1\n9,9\n9,8\n")
+    assert cli.main(["--data", str(tmp_path / "a.csv"), "--k", "2", "--output", str(tmp_path / "r.json"), "--quiet"]) == 0
+    got = json.loads((tmp_path / "r.json").read_text())
+    assert got["labels"] == [0, 0, 1, 1] and got["status"] == "optimal" and got["cost"] == pytest.approx(1.0) == pytest.approx(got["bound"])
+
+
 def test_gap(spark):
     assert spark.range(1).select(gap_pct(F.lit(4.0), F.lit(3.0))).first()[0] == 25.0
 

@@ -7,7 +7,8 @@ import pytest
 SF = "/root/testdata/sf0.001"
 NAMES = (
     "norms label_centroids label_cost total_cost huygens_cost centroids_with_empty assign_nearest second_nearest lloyd_step dual_lower_bound "
-    "initial_columns graph_density disc_vertices isolated_discs vertex_sbase candidate_sets singleton_rc column_filter ryan_foster_pair label_extraction k_sweep_cost"
+    "initial_columns graph_density disc_vertices isolated_discs vertex_sbase candidate_sets singleton_rc column_filter ryan_foster_pair label_extraction k_sweep_cost "
+    "graph_edges oriented_neighborhoods bnb_result bnb_assignment subproblem_gradient label_count column_overlap negative_columns best_columns"
 ).split()
 
 
