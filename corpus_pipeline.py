@@ -48,7 +48,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing sources to target weights", mixture),
     ("best-fit packing", pack),
 ]
-#: Components of a similarity join and best-fit packing aren't for SQL; tests/llm holds a brute-force version.
+#: Components of a similarity join and best-fit packing aren't for SQL; tests/llm/test_pipeline.py holds every stage to a plain version.
 ORACLE_SQL = None
 
 
