@@ -216,3 +216,20 @@ def test_stream_scoring(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["id"], r["cluster"]) for r in spark.sql("select * from scored").collect()} == {(0, 0), (1, 1), (2, 0)}
+
+
+def test_jumps_in_batches_equal_jumps_one_by_one(monkeypatch):
+    x = np.random.default_rng(1).normal(size=(40, 3)) + 50
+    cost, labels, c = heuristics.lloyd(x, x[:4])
+    whole = heuristics.screen(x, c, labels, 0.5, cost, 2)
+    monkeypatch.setattr(heuristics, "BATCH_VALUES", 40 * 4 * 7)
+    parts = heuristics.screen(x, c, labels, 0.5, cost, 2)
+    assert [r[1:] for r in whole] == [r[1:] for r in parts] and len(whole) > 10
+    for e, j, i in whole[::5]:
+        moved = c.copy()
+        moved[j] = x[i]
+        assert e == pytest.approx(heuristics.lloyd(x, moved, 2)[0])
+    done, found, _ = heuristics.local_search(x, x[:4])
+    assert done == pytest.approx(heuristics.cost_of(x, found)) and done <= cost
+    assert heuristics.local_search(np.ones((5, 2)), np.ones((2, 2)))[0] == 0
+    assert heuristics.local_search(x, x[:1])[0] == pytest.approx(((x - x.mean(0)) ** 2).sum())
