@@ -21,13 +21,14 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--restarts", type=int, default=8)
     p.add_argument("--max-nodes", type=int, default=200)
     p.add_argument("--output", help="file for the result and the assignment, as JSON")
-    p.add_argument("--max-columns", type=int, default=25, help="columns that may enter in a round")
+    p.add_argument("--max-columns", type=int, default=50, help="columns that may enter in a round")
+    p.add_argument("--max-rounds", type=int, default=300, help="rounds of column generation at a node")
     p.add_argument("--quiet", action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("clustrel").getOrCreate()
     cols = [int(c) for c in a.cols.split(",")] if a.cols else None
     rows = {"csv": lambda: src.read_csv(spark, a.data, cols), "tsplib": lambda: src.read_tsplib(spark, a.data), "parquet": lambda: src.read_vectors(spark, a.data)}[a.format]()
-    result = solver.solve(rows, a.k, a.restarts, a.seed, a.max_nodes, batch=a.max_columns)
+    result = solver.solve(rows, a.k, a.restarts, a.seed, a.max_nodes, a.max_rounds, batch=a.max_columns)
     if not a.quiet:
         solver.as_frames(spark, result)[0].show(truncate=False)
     if a.output:

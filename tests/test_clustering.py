@@ -233,3 +233,54 @@ def test_jumps_in_batches_equal_jumps_one_by_one(monkeypatch):
     assert done == pytest.approx(heuristics.cost_of(x, found)) and done <= cost
     assert heuristics.local_search(np.ones((5, 2)), np.ones((2, 2)))[0] == 0
     assert heuristics.local_search(x, x[:1])[0] == pytest.approx(((x - x.mean(0)) ** 2).sum())
+
+
+@pytest.mark.parametrize("fringe", [1, 3, 6])
+def test_pricing_by_boxes_equals_all_subsets(spark, monkeypatch, fringe):
+    from clustrel.operators import boxes
+
+    monkeypatch.setattr(boxes, "FRINGE", fringe)
+    rng = np.random.default_rng(fringe)
+    for t in range(8):
+        x, lam = rng.normal(size=(8, 1 + t % 4)), rng.uniform(0, 2.5, 8)
+        same, diff = [(0, 1)] if t % 3 == 1 else [], [(2, 3), (4, 5), (3, 4)] if t % 2 else []
+        ok = lambda s: all((i in s) == (j in s) for i, j in same) and not any(i in s and j in s for i, j in diff)  # noqa: B023, E731
+        best = min(((x[list(c)] - x[list(c)].mean(0)) ** 2).sum() - lam[list(c)].sum() for m in range(1, 9) for c in itertools.combinations(range(8), m) if ok(c))
+        got = boxes.price(spark, pricing.contract(x, lam, same, diff))
+        assert got["exact"].all() and got["value"].min() == pytest.approx(best) and best - 1e-6 < got["bound"].min() <= best + 1e-9
+        for r in got.itertuples():
+            assert ok(r.members) and r.value == pytest.approx(((x[r.members] - x[r.members].mean(0)) ** 2).sum() - lam[r.members].sum())
+
+
+def test_boxes_dealt_to_tasks_and_boxes_left_open(spark):
+    from clustrel.operators import boxes
+
+    rng = np.random.default_rng(9)
+    items = pricing.contract(rng.normal(size=(60, 3)), rng.uniform(0.2, 1.5, 60), [], [])
+    whole, dealt = boxes.price(spark, items), boxes.price(spark, items, limit=1)
+    assert whole["exact"].all() and dealt["value"].min() >= whole["bound"].min()
+    assert dealt["bound"].min() <= whole["value"].min()
+    none = boxes.price(spark, pricing.contract(np.zeros((3, 2)), np.zeros(3), [], []))
+    assert none["value"].min() == 0 and none["exact"].all()
+
+
+def test_branch_and_bound_closes_on_more_points(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(15, 2)) + c for c in ((0, 0), (4, 0), (0, 4))])
+    r = solver.solve(frame(spark, x), 3, 2)
+    assert r.status == "optimal" and r.gap_pct < 1e-3
+
+
+def test_duals_kept_in_a_box():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6, 2))
+    cols = [c for m in range(1, 7) for c in itertools.combinations(range(6), m)]
+    cost = np.array([((x[list(c)] - x[list(c)].mean(0)) ** 2).sum() for c in cols])
+    member = np.array([[i in c for i in range(6)] for c in cols])
+    free = lp.solve(member, cost, 2)
+    wide = lp.solve(member, cost, 2, lower=np.maximum(free.lam - 0.1, 0), upper=free.lam + 0.1)
+    assert wide.objective == pytest.approx(free.objective)
+    tight = lp.solve(member, cost, 2, lower=free.lam + 0.5, upper=free.lam + 0.7)
+    assert (tight.lam >= free.lam + 0.5 - 1e-9).all() and (tight.lam <= free.lam + 0.7 + 1e-9).all()
+    least = float((cost - member @ tight.lam).min())
+    assert tight.objective == pytest.approx(lp.certified_bound(tight.lam, 2, least)) and tight.objective < free.objective
