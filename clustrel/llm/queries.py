@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clustrel.llm import image_copies, jaccard_join, license_scan, line_dedup, mixing, packing, quality_model, quality_rules, secrets, token_counts
+from clustrel.llm import collocations, image_copies, jaccard_join, lexical_search, license_scan, line_dedup, mixing, packing, quality_model, quality_rules, secrets, token_counts, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,9 +15,15 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_packing": packing.op10_packing,
+    "op11_url_filter": url_filter.op11_url_filter,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
+    "op11_url_filter": url_filter.OP11_SQL,
+    "op12_collocations": collocations.OP12_SQL,
+    "op13_lexical_search": lexical_search.OP13_SQL,
 }
