@@ -33,13 +33,38 @@ def runs(member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data, the one behind its end included, as numbers."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def part(eight: np.ndarray, starts: np.ndarray, size: np.ndarray, at: int) -> np.ndarray:
+    """Up to eight bytes of each span, from place ``at`` in it; 0 where it has none there."""
+    left = np.clip(size - at, 0, 8)
+    return eight[np.minimum(starts + at, len(eight) - 1)] & _MASK[left]
+
+
+def same(data: np.ndarray, eight: np.ndarray, a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether two spans of data have the same bytes, for each pair of spans."""
+    out = size_a == size_b
+    at, which = 0, np.flatnonzero(out & (a != b))
+    while len(which) and at < LONG:
+        equal = part(eight, a[which], size_a[which], at) == part(eight, b[which], size_b[which], at)
+        out[which[~equal]] = False
+        at += 8
+        which = which[equal & (size_a[which] > at)]
+    for k in which.tolist():
+        out[k] = data[a[k] : a[k] + size_a[k]].tobytes() == data[b[k] : b[k] + size_b[k]].tobytes()
+    return out
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each span of bytes, by its content and the seed alone: eight bytes at a time are mixed in, so that spans of up to eight bytes of one length never share a hash."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    padded = np.zeros(len(data) + 8, np.uint8)
-    padded[: len(data)] = data
-    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place
+    eight = eights(data)
     length = ends - starts
     out = mix(length.astype(np.uint64) + np.uint64(_SEED * (2 * seed + 1) % (1 << 64)))
     at, left, which = starts, np.minimum(length, LONG), None
@@ -81,13 +106,23 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(acc)
 
 
-def shingles(text: bytes, k: int, seed: int = 0) -> np.ndarray:
-    """The sorted distinct shingles of k words of a text, ASCII letters in lower case; all words as one where there are fewer than k; none without words."""
-    h = words(text.lower(), seed)[2]
-    if not len(h):
-        return h
-    if len(h) < k:
-        return mix(grams(h, len(h)) + np.uint64(len(h)))
-    g = grams(h, k)
-    g.sort()
-    return g[np.append(True, g[1:] != g[:-1])]
+def shingles(text: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of k words of a text, ASCII letters in lower case, by two independent hashes in order; all words as one shingle where there are fewer than k; none without words."""
+    data = np.frombuffer(text.lower(), np.uint8)
+    starts, ends = runs(~BLANK[data])
+    one, two = (hashes(data, starts, ends, seed) for seed in (0, 1))
+    n = len(one)
+    if not n:
+        return one, two
+    if n < k:
+        return tuple(mix(grams(h, n) + np.uint64(n)) for h in (one, two))
+    one, two = grams(one, k), grams(two, k)
+    order = np.argsort(one, kind="stable")
+    one, two = one[order], two[order]
+    equal = one[1:] == one[:-1]
+    if (two[1:][equal] != two[:-1][equal]).any():
+        order = np.lexsort((two, one))
+        one, two = one[order], two[order]
+        equal = one[1:] == one[:-1]
+    new = np.append(True, ~(equal & (two[1:] == two[:-1])))
+    return one[new], two[new]

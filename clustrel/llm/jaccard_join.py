@@ -15,7 +15,7 @@ set has, which bounds the overlap from above. What remains is decided by the exa
 arrays, but for pairs that links found before already join. So no pairs are emitted but links, fewer than a
 task has sets, and no link between components is lost.
 
-Shingles are known by 64-bit hashes, classes by 128 bits. Edge cases: a text without words, or null, has no
+Shingles are known by two independent 64-bit hashes of their words, classes by two more. Edge cases: a text without words, or null, has no
 shingles and no links; a text with fewer words than a shingle is one shingle; rows without an id get their
 size but no component; rows that share an id are one node; an empty table gives no rows; columns other than id
 and text aren't read. Very long texts are whole sets like others.
@@ -37,9 +37,7 @@ from clustrel.llm.components import components
 #: Most sets and shingles of a block; a task holds two blocks.
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 1 << 21
 BITS = 2048
-#: Sets of so few shingles are told apart by two hashes of their words.
-FEW = 64
-_SALT, _OTHER, _TILE, _EMPTY = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
+_SALT, _TILE, _EMPTY = (np.uint64(x) for x in (0xA0761D6478BD642F, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
 
 class Tiles:
@@ -86,13 +84,21 @@ class Tiles:
         return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def set_id(x: np.ndarray, text: bytes, k: int) -> tuple[int, int]:
-    """128 bits for the set x of a text, as two signed longs; for a set of few shingles, the second half is from words hashed anew."""
-    y = hashing.shingles(text, k, 1) if 0 < len(x) <= FEW else x ^ _OTHER
-    both = np.array([hashing.mix(x ^ _SALT).sum(dtype=np.uint64), hashing.mix(y).sum(dtype=np.uint64)])
+def set_id(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """128 bits for the set of shingles with the hashes x and y, as two signed longs."""
+    both = np.array([hashing.mix(h ^ _SALT).sum(dtype=np.uint64) for h in (x, y)])
     return tuple(both.view(np.int64).tolist())
 
 
+def in_common(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> int:
+    """How many shingles two sets share; the first hash finds, the second confirms."""
+    at = np.minimum(np.searchsorted(y[0], x[0]), len(y[0]) - 1)
+    hit = y[0][at] == x[0]
+    if (y[1][at[hit]] == x[1][hit]).all():
+        return int(hit.sum())
+    return len({*zip(*(h.tolist() for h in x), strict=True)} & {*zip(*(h.tolist() for h in y), strict=True)})
+
+
 def bitmap(x: np.ndarray) -> bytes:
     """For each of BITS places, the parity of the number of elements there."""
     return np.packbits(np.bincount((x & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
@@ -108,8 +114,8 @@ def filed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             n, c1, c2, keys = [], [], [], []
             for doc, t in zip(ids, b.column("text"), strict=True):
                 text = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                x = hashing.shingles(text, k)
-                c = set_id(x, text, k)
+                x, y = hashing.shingles(text, k)
+                c = set_id(x, y)
                 n.append(len(x))
                 c1.append(c[0])
                 c2.append(c[1])
@@ -144,19 +150,18 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Sets:
-    """The sets of a block: ids, sizes ascending, bitmaps and arrays."""
+    """The sets of a block: ids, sizes ascending, bitmaps and pairs of arrays."""
 
     def __init__(self, rows: list[tuple[int, int, int, str]], k: int) -> None:
         held = {}
         for rep, w1, w2, text in rows:
-            data = (text or "").encode("utf-8", "surrogatepass")
-            x = hashing.shingles(data, k)
-            if set_id(x, data, k) == (w1, w2):  # else another row of the same id, of another class
+            x = hashing.shingles((text or "").encode("utf-8", "surrogatepass"), k)
+            if set_id(*x) == (w1, w2):  # else another row of the same id, of another class
                 held[rep] = x
-        held = dict(sorted(held.items(), key=lambda r: (len(r[1]), r[0])))
+        held = dict(sorted(held.items(), key=lambda r: (len(r[1][0]), r[0])))
         self.ids, self.arrays = list(held), list(held.values())
-        self.sizes = np.array([len(x) for x in self.arrays], np.int64)
-        self.bits = np.frombuffer(b"".join(map(bitmap, self.arrays)), np.uint64).reshape(len(self.ids), BITS // 64)
+        self.sizes = np.array([len(x) for x, _ in self.arrays], np.int64)
+        self.bits = np.frombuffer(b"".join(bitmap(x) for x, _ in self.arrays), np.uint64).reshape(len(self.ids), BITS // 64)
 
 
 def _link(one: _Sets, two: _Sets | None, num: int, den: int) -> Iterator[tuple[int, int]]:
@@ -171,7 +176,7 @@ def _link(one: _Sets, two: _Sets | None, num: int, den: int) -> Iterator[tuple[i
 
     other = two or one
     for i, x in enumerate(one.arrays):
-        n = len(x)
+        n = len(x[0])
         lo = i + 1 if two is None else int(np.searchsorted(other.sizes, -(-num * n // den)))
         hi = int(np.searchsorted(other.sizes, den * n // num, side="right"))
         if lo >= hi:
@@ -184,9 +189,8 @@ def _link(one: _Sets, two: _Sets | None, num: int, den: int) -> Iterator[tuple[i
             if a == b:
                 continue
             y = other.arrays[j]
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            inter = int((y[at] == x).sum())
-            if den * inter >= num * (n + len(y) - inter):
+            inter = in_common(x, y)
+            if den * inter >= num * (n + len(y[0]) - inter):
                 root[max(a, b)] = min(a, b)
                 yield one.ids[i], other.ids[j]
 

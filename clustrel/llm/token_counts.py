@@ -12,8 +12,8 @@ Two deterministic machines replace the tokenizer.
   demand: the merges of a prefix end in the one token that ends there and may stand after the last token
   before it, which the merge ranks along the two tokens' inner edges decide.
 
-Pieces are counted once per batch, and a table of fixed size remembers counts by a 64-bit hash of the
-piece. What class a character has is asked from the library that reads the same file, once per character.
+Equal pieces are counted once per batch, and a table of fixed size remembers counts of pieces of up to 24 bytes
+with those bytes. Hashes only say where to look; bytes decide. What class a character has is asked from the library that reads the same file, once per character.
 
 Edge cases: a null text counts as an empty one, with no tokens; special strings within a text are one token
 each, and part it, as the library does by default; texts of any length are read whole, in chunks; repeated
@@ -38,6 +38,8 @@ CHUNK = 128
 #: Characters of a batch, and places of the table of counts.
 BATCH = 1 << 21
 PLACES = 1 << 21
+#: Words of eight bytes that a place of the table keeps of its piece; longer pieces aren't kept.
+KEPT = 3
 #: States of the counter after which it starts anew, to bound memory.
 MAX_STATES = 150_000
 
@@ -265,7 +267,8 @@ class Tokens:
         self.pre = Tokenizer.from_str(spec).pre_tokenizer
         self.counter = Counter(Merges(conf["model"]["merges"]))
         self.classes = np.full(0x110000, 255, np.uint8)
-        self.keys = np.zeros(PLACES, np.uint64)
+        self.kept = np.zeros((PLACES, KEPT), np.uint64)
+        self.sizes = np.zeros(PLACES, np.uint8)  # 0 marks an empty place
         self.counts = np.zeros(PLACES, np.int32)
 
     def learn(self, points: np.ndarray) -> None:
@@ -307,19 +310,24 @@ class Tokens:
         """Tokens of each piece, a span of bytes."""
         if not len(starts):
             return np.zeros(0, np.int64)
-        h = hashing.hashes(whole, starts, stops) | np.uint64(1)  # 0 marks an empty place
-        distinct, first, of = np.unique(h, return_index=True, return_inverse=True)
+        distinct, first, of = np.unique(hashing.hashes(whole, starts, stops), return_index=True, return_inverse=True)
+        eight, size = hashing.eights(whole), stops - starts
+        other = np.flatnonzero(~hashing.same(whole, eight, starts, size, starts[first[of]], size[first[of]]))  # of other bytes than the first with the hash
+        begin, length = starts[first], size[first]
         place = (distinct >> np.uint64(20)) & np.uint64(PLACES - 1)
+        short = length <= 8 * KEPT
+        kept = np.stack([hashing.part(eight, begin, length, 8 * k) for k in range(KEPT)], axis=1)
         counts = self.counts[place].astype(np.int64)
-        new = np.flatnonzero(self.keys[place] != distinct)
+        new = np.flatnonzero(~(short & (self.sizes[place] == length) & (self.kept[place] == kept).all(axis=1)))
         if len(new):
-            spans = zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)
-            counts[new] = self.counter.count_all([whole[a:b].tobytes() for a, b in spans])
-            self.counts[place[new]] = 0
-            self.keys[place[new]] = 0
-            one = np.unique(place[new], return_index=True)[1]  # of pieces that share a place one stays
-            self.keys[place[new[one]]], self.counts[place[new[one]]] = distinct[new[one]], counts[new[one]]
-        return counts[of]
+            counts[new] = self.counter.count_all([whole[a : a + n].tobytes() for a, n in zip(begin[new].tolist(), length[new].tolist(), strict=True)])
+            new = new[short[new]]
+            one = new[np.unique(place[new], return_index=True)[1]]  # of pieces that share a place one stays
+            self.kept[place[one]], self.sizes[place[one]], self.counts[place[one]] = kept[one], length[one], counts[one]
+        out = counts[of]
+        if len(other):
+            out[other] = self.counter.count_all([whole[a:b].tobytes() for a, b in zip(starts[other].tolist(), stops[other].tolist(), strict=True)])
+        return out
 
     def counts_of(self, texts: list[str | None]) -> np.ndarray:
         """Tokens of each text."""

@@ -200,3 +200,45 @@ def test_model_of_few_or_one_sided_labels(spark):
     for labels in ([], [(1, 1), (2, 1), (3, None), (4, 7), (None, 0)]):
         model = quality_model.fit(x, spark.createDataFrame(labels, "doc_id long, quality int"))
         assert {round(r["score"], 6) for r in quality_model.scored(x, model).collect()} <= {0.5, 0.666667, 0.75}
+
+
+def test_pieces_alike_in_a_hash_are_counted_by_their_bytes(spark):
+    tokenizers, files = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    theirs = tokenizers.Tokenizer.from_file(files.path("byte_bpe_50k.json"))
+    pairs = ["GwugBZjS", "OpXbrqPK", "URevlXSm", "rXpppRQV", "abcdefghey+%$$8m", "dkuwoulrwozcfvzq"]
+    rng = random.Random(3)
+    texts = pairs + [a + "\n" + b for a in pairs for b in pairs] + ["".join(rng.choice("ab") for _ in range(n)) for n in (7, 8, 9, 16, 17, 24, 25, 64, 128, 129, 300) for _ in range(3)]
+    count = token_counts.token_counter(spark, files.path("byte_bpe_50k.json"))
+    df = spark.createDataFrame(list(enumerate(texts + texts)), "doc_id long, text string").coalesce(1)
+    got = [r["n"] for r in df.select("doc_id", count(F.col("text")).alias("n")).orderBy("doc_id").collect()]
+    assert got == [len(theirs.encode(t, add_special_tokens=False).ids) for t in texts + texts]
+
+
+def test_pieces_that_share_a_hash_and_a_place_stay_apart(spark, monkeypatch):
+    tokenizers, files = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    theirs = tokenizers.Tokenizer.from_file(files.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(hashing, "hashes", lambda data, starts, ends, seed=0: np.full(len(starts), 5, np.uint64))
+    monkeypatch.setattr(token_counts, "PLACES", 4)
+    with open(files.path("byte_bpe_50k.json")) as f:
+        own = token_counts.Tokens(f.read())
+    texts = ["hunter2 hunter3 the quick", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa bbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbb " + "xy" * 200 + " " + "xz" * 200, "", "quick the"]
+    for _ in range(2):
+        assert own.counts_of(texts).tolist() == [len(theirs.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_words_alike_in_one_hash_make_no_link(spark):
+    one, two = "abcdefghey+%$$8m", "dkuwoulrwozcfvzq"
+    rows = [(i + 1, " ".join(w if k % 4 == 0 else f"w{k}" for k in range(30)) + end) for i, (w, end) in enumerate([(one, ""), (two, ""), (one, " more")])]
+    for some in (rows, rows[:2], rows[1:]):
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(spark.createDataFrame(some, "doc_id long, text string"), 4, 85, 100).collect()}
+        assert got == H.components(some, 4, 85, 100)[0]
+
+
+def test_sets_whose_first_hashes_all_collide_are_still_told_apart(monkeypatch):
+    true = hashing.hashes
+    monkeypatch.setattr(hashing, "hashes", lambda data, starts, ends, seed=0: true(data, starts, ends, seed) if seed else np.full(len(starts), 5, np.uint64))
+    texts = [b"a b c d e f", b"a b c d e g", b"a b c d a b c d", b"b c d a b"]
+    sets = [hashing.shingles(t, 3) for t in texts]
+    plain = [H.shingles(t.decode(), 3) for t in texts]
+    assert [len(x[0]) for x in sets] == [len(p) for p in plain]
+    assert all(jaccard_join.in_common(x, y) == len(p & q) for x, p in zip(sets, plain, strict=True) for y, q in zip(sets, plain, strict=True))
