@@ -99,30 +99,3 @@ def first_k(points: DataFrame, k: int) -> DataFrame:
     """Centroids at the k points of least id: a fixed start."""
     rows = points.orderBy("id").limit(k)
     return rows.select((F.row_number().over(Window.orderBy("id")) - 1).cast("int").alias("cluster"), F.col("features").alias("center"))
-
-
-def jump_costs(points: DataFrame, cents: DataFrame, dim: int | None = None) -> DataFrame:
-    """cluster, id, est: the cost if the centroid of the cluster jumps to the point, before any step.
-
-    Each point contributes the lesser of its distance to the candidate and to the nearest centroid that stays.
-    """
-    near = two_nearest(points.select("id", "features"), cents, dim)
-    cand = points.select(F.col("id").alias("at"), F.col("features").alias("to"))
-    pair = near.crossJoin(cand).withColumn("d", sq_dist(F.col("features"), F.col("to"), dim))
-    gains = pair.groupBy("at", F.col("c1").alias("own")).agg(F.sum(F.least("d", "d1")).alias("stay"), F.sum(F.least("d", "d2")).alias("lose"))
-    total = gains.groupBy("at").agg(F.sum("stay").alias("all"))
-    every = cents.select("cluster").crossJoin(total)
-    out = every.join(gains.select("at", F.col("own").alias("cluster"), "stay", "lose"), ["at", "cluster"], "left")
-    return out.select("cluster", F.col("at").alias("id"), (F.col("all") - F.coalesce("stay", F.lit(0.0)) + F.coalesce("lose", F.lit(0.0))).alias("est"))
-
-
-def farthest_first(points: DataFrame, k: int, dim: int | None = None) -> DataFrame:
-    """step, id: seeds by largest distance to those before, from the least id; the lower id wins a tie."""
-    spark = points.sparkSession
-    first = points.orderBy("id").first()
-    chosen, near = [first], points.withColumn("far", F.lit(float("inf")))
-    for _ in range(k - 1):
-        last = F.lit([float(v) for v in chosen[-1]["features"]])
-        near = near.withColumn("far", F.least("far", sq_dist(F.col("features"), last, None)))
-        chosen.append(near.orderBy(F.desc("far"), "id").first())
-    return spark.createDataFrame([(i, r["id"]) for i, r in enumerate(chosen)], "step int, id long")

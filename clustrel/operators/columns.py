@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clustrel.operators.assign import cluster_costs
-from clustrel.operators.graph import kept
+from clustrel.shared import kept
 
 EPS = 1e-4
 

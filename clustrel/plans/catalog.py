@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clustrel.functions.vectors import gap_pct, plane_sq, sq_dist, sq_norm
-from clustrel.operators import assign, columns, discs, graph
-from clustrel.operators.graph import kept
+from clustrel.operators import assign, columns, discs, graph, jumps, seeding
+from clustrel.shared import kept
 from clustrel.sources.points import read_vectors
 
 DIM, K = 64, 10
@@ -225,7 +225,7 @@ est AS (SELECT label AS cluster, id, sum(CASE WHEN c1 = label THEN least(d, d2)
 @query(_with(_P, _L, _C, _RANK, _JUMP) + "SELECT cluster, id, round(est, 4) AS est FROM est")
 def jump_candidates(spark, sf):
     x = _labelled(spark, sf)
-    return assign.jump_costs(x, assign.centroids(x), DIM).select("cluster", "id", _r("est", 4))
+    return jumps.jump_costs(x, assign.centroids(x)).select("cluster", "id", _r("est", 4))
 
 
 @query(_with(_P, _L, _C, _RANK, _JUMP) + "SELECT cluster, id, round(est, 4) AS est FROM est WHERE est < 1.0005 * (SELECT sum(d1) FROM two)")
@@ -233,7 +233,28 @@ def jump_screen(spark, sf):
     x = _labelled(spark, sf)
     cents = assign.centroids(x)
     now = assign.nearest(x.select("id", "features"), cents, DIM).agg(F.sum("d2").alias("now"))
-    return assign.jump_costs(x, cents, DIM).crossJoin(F.broadcast(now)).where("est < 1.0005 * now").select("cluster", "id", _r("est", 4))
+    return jumps.jump_costs(x, cents).crossJoin(F.broadcast(now)).where("est < 1.0005 * now").select("cluster", "id", _r("est", 4))
+
+
+# The sets of centroids after a jump, and after each of Lloyd's steps from there.
+_SETS = """z0 AS MATERIALIZED (SELECT i.id, j.label AS j, c.label AS k, CASE WHEN c.label = j.label THEN i.f ELSE c.c END AS c FROM pts i, cen j, cen c),
+y0 AS MATERIALIZED (SELECT id, f AS x FROM pts)"""
+
+
+def _moved_sql(k: int) -> str:
+    return f"""n{k} AS MATERIALIZED (SELECT z.id, z.j, y.id AS p, arg_min(z.k, struct_pack(d := list_distance(y.x, z.c), k := z.k)) AS k FROM z{k} z, y0 y GROUP BY z.id, z.j, y.id),
+u{k} AS MATERIALIZED (SELECT id, j, k, list(v ORDER BY dim) AS c FROM (SELECT n.id, j, k, dim, avg(v) AS v FROM n{k} n JOIN lng ON lng.id = n.p GROUP BY n.id, j, k, dim) GROUP BY id, j, k),
+z{k + 1} AS MATERIALIZED (SELECT z.id, z.j, z.k, coalesce(u.c, z.c) AS c FROM z{k} z LEFT JOIN u{k} u USING (id, j, k))"""
+
+
+@query(
+    _with(_P, _L, _C, _RANK, _SETS, _moved_sql(0), _moved_sql(1), "w AS (SELECT z.id, z.j, sum(d) AS est FROM (SELECT z.id, z.j, min(list_distance(y.x, z.c) ** 2) AS d FROM z2 z, y0 y GROUP BY z.id, z.j, y.id) z GROUP BY z.id, z.j)")
+    + "SELECT w.j AS cluster, w.id, round(est, 4) AS est FROM w JOIN rnk ON rnk.id = w.id AND r = 1 AND rnk.cluster <> w.j WHERE est < 1.05 * (SELECT sum(d2) FROM rnk WHERE r = 1)"
+)
+def jump_screen_2_steps(spark, sf):
+    """The jumps to points of other clusters whose cost after two of Lloyd's steps is within 5 % of the present one."""
+    x = _labelled(spark, sf)
+    return jumps.screened(x, assign.centroids(x), 0.05, 2, DIM).select("cluster", "id", _r("est", 4))
 
 
 def _far_sql(k: int) -> str:
@@ -245,7 +266,20 @@ def _far_sql(k: int) -> str:
     + " UNION ALL ".join(f"SELECT {k} AS step, id FROM g{k}" for k in range(5))
 )
 def farthest_first_seeds(spark, sf):
-    return assign.farthest_first(_points(spark, sf).select("id", "features"), 5)
+    return seeding.farthest_first(_points(spark, sf), 5)
+
+
+def _draw_sql(k: int) -> str:
+    race = f"-ln((('0x' || substr(md5(concat_ws('/', 42, 0, {k}, pts.id)), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+    if k == 0:
+        return f"w0 AS (SELECT id, f, 1e300 AS near FROM pts),\nh0 AS (SELECT id, f FROM pts ORDER BY {race}, id LIMIT 1)"
+    return f"w{k} AS (SELECT pts.id, pts.f, least(w.near, list_distance(pts.f, h.f) ** 2) AS near FROM pts JOIN w{k - 1} w USING (id), h{k - 1} h),\nh{k} AS (SELECT pts.id, f FROM w{k} pts ORDER BY CASE WHEN near > 0 THEN {race} / near ELSE 1e300 END, id LIMIT 1)"
+
+
+@query(_with(_P, *(_draw_sql(k) for k in range(K))) + " UNION ALL ".join(f"SELECT {k}::INT AS step, id FROM h{k}" for k in range(K)))
+def kmeanspp_seeds(spark, sf):
+    """Ten seeds, each drawn by squared distance to those before."""
+    return seeding.kmeanspp(_points(spark, sf), K).select("step", "id")
 
 
 @query(_with(_P, _L, _C, _D, _N, _E) + "SELECT src, dst FROM edg")
@@ -450,9 +484,8 @@ def gap_to_one_cluster(spark, sf):
 # Iterative searches, which SQL can't express; the tests hold them against brute force.
 
 
-def _solution(spark, ids, labels, cost: float) -> DataFrame:
-    rows = [(int(i), int(c), float(cost)) for i, c in zip(ids, labels, strict=True)]
-    return spark.createDataFrame(rows, "id long, cluster int, cost double")
+def _solution(points: DataFrame, cents: DataFrame, cost: float) -> DataFrame:
+    return assign.nearest(points, cents, DIM).select("id", "cluster", F.lit(cost).alias("cost"))
 
 
 @query()
@@ -467,20 +500,16 @@ def kmeans_solution(spark, sf):
 
 @query()
 def multistart_solution(spark, sf):
-    """The best of several restarts of Lloyd's steps, one task each."""
-    from clustrel.operators.heuristics import restarts
-
-    ids, labels, _, cost = restarts(_points(spark, sf), K, 8)
-    return _solution(spark, ids, labels, cost)
+    """The best of eight starts of Lloyd's steps, which advance together."""
+    p = _points(spark, sf).select("id", "features")
+    return _solution(p, *jumps.restarts(p, K, 8))
 
 
 @query()
 def jmeans_solution(spark, sf):
-    """The best of several starts, improved by screened jump moves."""
-    from clustrel.operators.heuristics import restarts
-
-    ids, labels, _, cost = restarts(_points(spark, sf), K, 4, jumps=True)
-    return _solution(spark, ids, labels, cost)
+    """The best of eight starts, improved by screened jumps until none helps."""
+    p = _points(spark, sf).select("id", "features")
+    return _solution(p, *jumps.jump_search(p, K))
 
 
 @query()
