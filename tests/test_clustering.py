@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clustrel.functions.vectors import disc_relation, gap_pct
-from clustrel.operators import assign, columns, discs, graph, heuristics, lp, pricing, solver
+from clustrel.operators import assign, balls, columns, discs, graph, heuristics, lp, pricing, solver
 from clustrel.sources import points as src
 
 
@@ -144,7 +144,7 @@ def test_csv_without_choice_takes_the_numbers(spark, tmp_path):
 
 @pytest.mark.parametrize("scale,block", [(0.02, 256), (0.3, 7), (3.0, 5)])
 def test_edges_equal_all_pairs(spark, monkeypatch, scale, block):
-    monkeypatch.setattr(graph, "BLOCK", block)
+    monkeypatch.setattr(balls, "LEAF", block)
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(60, 3)), rng.normal(size=(20, 3)) + 50])
     lam = rng.uniform(0, scale, 80)
