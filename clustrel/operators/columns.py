@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clustrel.operators.assign import cluster_costs
-from clustrel.shared import kept
+from clustrel.shared import drop, kept
 
 EPS = 1e-4
 
@@ -93,14 +93,72 @@ def best_subset(nodes: DataFrame, by: str, dim: int | None = None) -> DataFrame:
 def same_components(pairs: DataFrame) -> DataFrame:
     """id, component: the closure of same pairs(i, j); a component bears its least id.
 
-    Each round every id takes the least label among its own and its neighbours', until none changes.
+    Each round every id takes the least label among its own and its neighbours', and then that label's own
+    label, until none changes; so labels travel twice as far in every round.
     """
-    arcs = pairs.select("i", "j").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
-    lab = arcs.select(F.col("i").alias("id")).distinct().withColumn("component", F.col("id"))
+    arcs = kept(pairs.select("i", "j").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct())
+    lab = kept(arcs.select(F.col("i").alias("id")).distinct().withColumn("component", F.col("id")))
     while True:
         near = arcs.join(lab.select(F.col("id").alias("j"), F.col("component").alias("c")), "j").groupBy(F.col("i").alias("id")).agg(F.min("c").alias("c"))
-        new = lab.join(near, "id").select("id", F.least("component", "c").alias("component"), (F.col("c") < F.col("component")).alias("moved"))
-        new = kept(new)
+        low = kept(lab.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "c").alias("up")))
+        jump = low.select(F.col("id").alias("up"), F.col("up").alias("top"))
+        new = kept(low.join(jump, "up").select("id", F.least("up", "top").alias("component"), (F.least("up", "top") < F.col("was")).alias("moved")))
+        drop(low)
         lab = new.select("id", "component")
         if new.where("moved").isEmpty():
             return lab
+
+
+def coverage_patch(cols: DataFrame, ids: DataFrame, chosen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """patch(col_id, step, gain) and uncovered(id): the columns that a greedy cover of ids(id) adds to the chosen ones(col_id), and the ids that no column holds.
+
+    The column with most ids still uncovered comes first, ties by col_id. A round takes of the columns of the
+    greatest gain all that have the least col_id, of those columns, at each of their uncovered ids: these keep out of
+    each other's way, and of the way of any that greedy would take before them, so the cover is the greedy one. Columns of one step have no id in common.
+    """
+    has = cols.select("col_id", F.explode("members").alias("id")).distinct().join(ids.select("id").distinct(), "id", "left_semi")
+    if chosen is not None:
+        held = has.join(chosen.select("col_id"), "col_id", "left_semi").select("id").distinct()
+        has = has.join(held, "id", "left_anti")
+        ids = ids.join(held, "id", "left_anti")
+    empty = cols.sparkSession.createDataFrame([], "id long")
+    left, patch, step = kept(has.select("col_id", "id")), cols.limit(0).select("col_id", F.lit(0).alias("step"), F.lit(0).cast("long").alias("gain")), 0
+    while True:
+        gains = kept(left.groupBy("col_id").agg(F.count(F.lit(1)).alias("gain")))
+        most = gains.agg(F.max("gain")).first()[0]
+        if most is None:
+            break
+        bucket = left.join(gains.where(F.col("gain") == most).select("col_id"), "col_id", "left_semi")
+        first = bucket.groupBy("id").agg(F.min("col_id").alias("col_id")).groupBy("col_id").agg(F.count(F.lit(1)).alias("n"))
+        taken = kept(first.where(F.col("n") == most).select("col_id", F.lit(step).alias("step"), F.lit(int(most)).cast("long").alias("gain")))
+        patch = patch.unionByName(taken)
+        done = left.join(taken.select("col_id"), "col_id", "left_semi").select("id").distinct()
+        old, left, step = left, kept(left.join(done, "id", "left_anti").select("col_id", "id")), step + 1
+        drop(old)
+        drop(gains)
+    every = cols.select(F.explode("members").alias("id")).distinct()
+    return patch, ids.select("id").distinct().join(every, "id", "left_anti").unionByName(empty)
+
+
+def column_pairs(cols: DataFrame) -> DataFrame:
+    """t1 < t2, common, i1, score of the fractional columns that share members and of which the first has one of its own: i1 is their first common member, score tells how near both z are to a half.
+
+    Columns meet only by a member that they share, through an index from members to columns.
+    """
+    held = cols.where((F.col("z") > EPS) & (F.col("z") < 1 - EPS)).select("col_id", "z", F.size(F.array_distinct("members")).alias("n"), F.explode(F.array_distinct("members")).alias("id"))
+    one = held.select("id", F.col("col_id").alias("t1"), F.col("z").alias("z1"), "n")
+    two = held.select("id", F.col("col_id").alias("t2"), F.col("z").alias("z2"))
+    met = one.join(two, "id").where("t1 < t2").groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("common"), F.min("id").alias("i1"), F.first("n").alias("n"), F.first("z1").alias("z1"), F.first("z2").alias("z2"))
+    score = 1 - F.abs(F.col("z1") - 0.5) - F.abs(F.col("z2") - 0.5)
+    return met.where("common < n").select("t1", "t2", "common", "i1", score.alias("score"))
+
+
+def column_branching_pair(cols: DataFrame) -> DataFrame:
+    """t1, t2, i1, i2, score of the overlapping columns whose z are nearest to a half, ties by t1 and t2: i1 is in both, i2, the first such, in t1 alone. No row where no two columns overlap so."""
+    order = F.struct((-F.round("score", 9)).alias("s"), "t1", "t2")
+    best = kept(column_pairs(cols).agg(F.min_by(F.struct("t1", "t2", "i1", "score"), order).alias("b")).where("b is not null").select("b.*"))
+    has = cols.select("col_id", F.explode("members").alias("id"))
+    one = has.join(best.select(F.col("t1").alias("col_id")), "col_id", "left_semi").select("id")
+    two = has.join(best.select(F.col("t2").alias("col_id")), "col_id", "left_semi").select("id")
+    private = one.join(two, "id", "left_anti").agg(F.min("id").alias("i2"))  # one row
+    return best.crossJoin(private).select("t1", "t2", "i1", "i2", "score")

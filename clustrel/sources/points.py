@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,34 +11,53 @@ from pyspark.sql import functions as F
 NUMBER = r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?"
 
 
-def _numbered(lines: DataFrame) -> DataFrame:
-    """0-based ids in the order of the lines of a file; for the small fixtures that come without ids."""
-    at = Window.orderBy("part", "line")
-    parts = lines.withColumn("line", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id())
-    return parts.withColumn("id", (F.row_number().over(at) - 1).cast("long")).drop("part", "line")
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """value, id of the lines that aren't blank, numbered from 0 in the order of files by name and of lines in them.
 
+    Two passes: lines are counted by split of a file, the splits' counts add up to offsets, and each line adds
+    its place in its split. Only the splits, a row for each, are put in order in one place.
+    """
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.input_file_block_start().alias("start")).where(F.length(F.trim("value")) > 0)
+    lines = lines.withColumn("row", F.monotonically_increasing_id())  # the lines of a split follow each other in one task
+    splits = lines.groupBy("file", "start").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("file", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return lines.join(offsets, ["file", "start"]).select("value", (F.col("row") - F.col("first") + F.col("offset")).alias("id"))
 
-def _features(fields, cols: Sequence[int] | None, split):
-    pick = fields if cols is None else F.array(*(F.get(fields, F.lit(c)) for c in cols))
-    if cols is None:  # without a choice of columns, fields that aren't numbers are left out
-        return F.filter(F.transform(pick, lambda v: F.trim(v).try_cast("double")), lambda v: v.isNotNull())
-    return F.transform(pick, lambda v: F.trim(v).cast("double"))
 
+def _number(field, bad: str):
+    """A field as a number. One that isn't there or isn't a number raises, or is null where ``bad`` is 'null'."""
+    value = F.trim(field).try_cast("double")
+    if bad == "null":
+        return value
+    return F.coalesce(value, F.raise_error(F.concat(F.lit("not a number: "), F.coalesce(field, F.lit("(no field)")))))
 
-def read_csv(spark: SparkSession, path: str, cols: Sequence[int] | None = None, header: bool = False, sep: str = ",") -> DataFrame:
-    """Comma-separated points; cols picks fields by position, without it all fields that are numbers are taken; blank lines are skipped."""
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    numbered = _numbered(lines)
+
+def _typed(lines: DataFrame, fields, cols: Sequence[int] | None, bad: str) -> DataFrame:
+    """id, features of lines(id, value): the fields at cols, or of the columns that are numbers."""
+    if bad not in ("raise", "null"):
+        raise ValueError("bad must be 'raise' or 'null'")
+    if cols is None:  # a first pass settles which columns are numbers: those of which more fields are than aren't
+        each = lines.select(F.posexplode(fields).alias("p", "v")).where(F.trim("v") != "")
+        share = each.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count(F.trim("v").try_cast("double")).alias("numbers"))
+        cols = sorted(r["p"] for r in share.where("2 * numbers > n").collect())
+    return lines.select("id", F.array(*(_number(F.get(fields, F.lit(c)), bad) for c in cols)).cast("array<double>").alias("features"))
+
+
+def read_csv(spark: SparkSession, path: str, cols: Sequence[int] | None = None, header: bool = False, sep: str = ",", bad: str = "raise") -> DataFrame:
+    """Comma-separated points; cols picks fields by position, without it the columns that are mostly numbers are taken, of every row the same; blank lines are skipped.
+
+    A field of such a column that is missing or not a number raises, or with bad='null' is null in its place.
+    """
+    lines = _numbered(spark, path)
     if header:
-        numbered = numbered.where("id > 0").withColumn("id", F.col("id") - 1)
-    fields = F.split("value", sep.replace("|", r"\|"))
-    return numbered.select("id", _features(fields, cols, None).alias("features"))
+        lines = lines.where("id > 0").withColumn("id", F.col("id") - 1)
+    return _typed(lines, F.split("value", re.escape(sep), -1), cols, bad)
 
 
-def read_whitespace(spark: SparkSession, path: str, cols: Sequence[int]) -> DataFrame:
-    """Points in columns parted by white space, with the columns picked by position."""
-    lines = _numbered(spark.read.text(path).where(F.length(F.trim("value")) > 0))
-    return lines.select("id", _features(F.split(F.trim("value"), r"\s+"), cols, None).alias("features"))
+def read_whitespace(spark: SparkSession, path: str, cols: Sequence[int] | None = None, bad: str = "raise") -> DataFrame:
+    """Points in columns parted by white space, with the columns picked by position; else as ``read_csv``."""
+    return _typed(_numbered(spark, path), F.split(F.trim("value"), r"\s+"), cols, bad)
 
 
 def read_tsplib(spark: SparkSession, path: str) -> DataFrame:
