@@ -8,17 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clustrel.functions.vectors import gap_pct, plane_sq, sq_dist, sq_norm
-from clustrel.operators import assign, columns, discs, graph, jumps, seeding
+from clustrel.operators import assign, columns, discs, fractional, graph, jumps, multipricing, seeding
 from clustrel.shared import kept
 from clustrel.sources.points import read_vectors
 
 DIM, K = 64, 10
 #: Scales of dual values that leave the graph and the discs sparse.
 LAM, LAM2 = 0.42, 0.0016
+#: A scale at which sets of several points are worth their duals.
+WIDE = 1.5
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -389,17 +391,35 @@ def qp_coefficients(spark, sf):
     return columns.qp_coefficients(_nodes(spark, sf), "label", DIM).select("grp", "i", "j", _r("q"))
 
 
-@query(
-    _with(_P, _L, _C, _D, _N)
-    + ", top AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY lam, id) - 1 AS pos FROM nod QUALIFY pos < 8), msk AS (SELECT label, unnest(generate_series(1, (1 << count(*)::INT) - 1)) AS mask FROM top GROUP BY label),"
-    + "lin AS (SELECT label, mask, sum(-lam) AS lin, count(*) AS size FROM msk JOIN top USING (label) WHERE (mask >> pos::INT) & 1 = 1 GROUP BY label, mask),"
-    + "qd AS (SELECT m.label, mask, sum(list_distance(a.f, b.f) ** 2 - a.lam - b.lam) AS quad FROM msk m JOIN top a ON a.label = m.label JOIN top b ON b.label = m.label AND a.id < b.id WHERE (mask >> a.pos::INT) & 1 = 1 AND (mask >> b.pos::INT) & 1 = 1 GROUP BY m.label, mask)"
-    + "SELECT label AS grp, mask::INT AS mask, size, round((coalesce(quad, 0) + lin) / size, 6) AS ratio FROM lin LEFT JOIN qd USING (label, mask) QUALIFY row_number() OVER (PARTITION BY label ORDER BY round((coalesce(quad, 0) + lin) / size, 9), mask) = 1"
-)
+# All subsets of the groups of eight consecutive ids.
+_EIGHT = f"""top AS (SELECT id, f, {WIDE} * d2 AS lam, id // 8 AS grp, id % 8 AS pos FROM own), msk AS (SELECT grp, bit_or(1 << pos::INT) AS have, unnest(generate_series(1, 255)) AS mask FROM top GROUP BY grp),
+lin AS (SELECT grp, mask, sum(-lam) AS lin, count(*) AS size FROM msk JOIN top USING (grp) WHERE mask & have = mask AND (mask >> pos::INT) & 1 = 1 GROUP BY grp, mask),
+qd AS (SELECT m.grp, mask, sum(list_distance(a.f, b.f) ** 2 - a.lam - b.lam) AS quad FROM msk m JOIN top a ON a.grp = m.grp JOIN top b ON b.grp = m.grp AND a.id < b.id WHERE (mask >> a.pos::INT) & 1 = 1 AND (mask >> b.pos::INT) & 1 = 1 GROUP BY m.grp, mask),
+rat AS (SELECT grp, mask, size, (coalesce(quad, 0) + lin) / size AS ratio FROM lin LEFT JOIN qd USING (grp, mask) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY round((coalesce(quad, 0) + lin) / size, 9), mask) = 1)"""
+
+
+def _eights(spark, sf) -> DataFrame:
+    """All points, in groups of eight consecutive ids, with duals so large that sets of several pay."""
+    return _own(spark, sf).select("id", "features", (F.lit(WIDE) * F.col("d2")).alias("lam"), F.floor(F.col("id") / 8).alias("grp"), (F.col("id") % 8).alias("pos"))
+
+
+@query(_with(_P, _L, _C, _D, _EIGHT) + "SELECT grp, mask::INT AS mask, size, round(ratio, 6) AS ratio FROM rat")
 def qp_exhaustive(spark, sf):
-    w = Window.partitionBy("label").orderBy("lam", "id")
-    top = _nodes(spark, sf).withColumn("pos", F.row_number().over(w) - 1).where("pos < 8")
-    return columns.best_subset(top, "label", DIM).select("grp", "mask", "size", _r("ratio"))
+    """The subset of least ratio of every eight consecutive points, by all masks."""
+    return columns.best_subset(_eights(spark, sf), "grp", DIM).select("grp", "mask", "size", _r("ratio"))
+
+
+@query(_with(_P, _L, _C, _D, _EIGHT) + "SELECT grp, (SELECT count(*) FROM top WHERE top.grp = rat.grp) AS n, size, round(ratio, 6) AS ratio, true AS exact FROM rat")
+def fractional_ratio(spark, sf):
+    """The same by the fractional iteration, all groups at once."""
+    return fractional.best_ratios(_eights(spark, sf), "grp")[0].select("grp", "n", "size", _r("ratio"), "exact")
+
+
+@query()
+def fractional_labels(spark, sf):
+    """The fractional iteration over whole labels, which are too large for all subsets."""
+    n = _own(spark, sf).select("id", "label", "features", (F.lit(WIDE) * F.col("d2")).alias("lam"))
+    return fractional.best_ratios(n, "label")[0].select("grp", "n", "size", _r("ratio"), "exact")
 
 
 _COLS = """col AS (SELECT label AS col_id, list(id ORDER BY id) AS m, sum(d2) AS cost, 0.5 AS z FROM own GROUP BY label
@@ -512,16 +532,87 @@ def jmeans_solution(spark, sf):
     return _solution(p, *jumps.jump_search(p, K))
 
 
+def _priced(spark, sf, sigma: float, limit: int) -> DataFrame:
+    n = kept(_nodes(spark, sf))
+    return multipricing.priced(n, graph.oriented(n, graph.edges(n, DIM)), sigma, limit)
+
+
 @query()
 def priced_columns(spark, sf):
     """The best set of every neighbourhood, with its value, bound and whether the search was exact."""
-    from clustrel.operators import heuristics, pricing
+    found = _priced(spark, sf, 0.0, 300)
+    return found.select("seed", _joined("members"), F.col("rc").alias("value"), "bound", "exact")
+
+
+def _mean_dual(spark, sf) -> float:
+    return _nodes(spark, sf).agg(F.avg("lam")).first()[0]
+
+
+@query()
+def priced_multi(spark, sf):
+    """All distinct sets of negative reduced cost that the neighbourhoods give, at the mean dual as sigma."""
+    return multipricing.entering(_priced(spark, sf, _mean_dual(spark, sf), 300)).select(_joined("members"), "rc")
+
+
+@query(
+    _with(_P, _L, _C, _D, _N, _E, _DEG)
+    + ", arc AS (SELECT d.id, b.id AS o FROM deg d JOIN (SELECT src, dst FROM edg UNION ALL SELECT dst, src FROM edg) e ON e.src = d.id JOIN deg b ON b.id = e.dst AND (b.degree, b.id) > (d.degree, d.id)),"
+    + " sm AS (SELECT nod.id, count(o.id) AS more, nod.lam + coalesce(sum(o.lam), 0) AS held FROM nod LEFT JOIN arc ON arc.id = nod.id LEFT JOIN nod o ON o.id = arc.o GROUP BY nod.id, nod.lam),"
+    + " st AS (SELECT CASE WHEN more = 0 THEN 's' WHEN (SELECT avg(lam) FROM nod) - held >= -1e-6 THEN 'p' ELSE 'e' END AS st FROM sm)"
+    + " SELECT count(*) AS n_groups, count(*) FILTER (WHERE st = 'p') AS n_pruned, count(*) FILTER (WHERE st = 's') AS n_singles, count(*) FILTER (WHERE st = 'e') AS n_searched FROM st"
+)
+def pricing_counts(spark, sf):
+    """How many neighbourhoods are pruned, single, or searched."""
+    n = kept(_nodes(spark, sf))
+    return multipricing.counters(multipricing.groups(n, graph.oriented(n, graph.edges(n, DIM)), _mean_dual(spark, sf)))
+
+
+@query()
+def degeneracy_order(spark, sf):
+    """The order in which peeling removes the nodes of the graph, with core numbers."""
+    n = _nodes(spark, sf)
+    return graph.degeneracy_order(n, kept(graph.edges(n, DIM)))
+
+
+@query()
+def constrained_centres(spark, sf):
+    """The best centre, within all its discs, of every candidate set."""
+    d = kept(_discs(spark, sf))
+    return discs.constrained_centres(discs.candidate_sets(d), d).select(_joined("members"), *(F.round(c, 5).alias(c) for c in ("px", "py", "cost")), "meets")
 
-    ids, x = heuristics.local(_points(spark, sf))
-    lam = _nodes(spark, sf).orderBy("id").toPandas()["lam"].to_numpy()
-    found = pricing.price(spark, pricing.contract(x, lam, [], []), 300)
-    rows = [(int(ids[r.seed]), [int(ids[m]) for m in r.members], float(r.value), float(r.bound), bool(r.exact)) for r in found.itertuples()]
-    return spark.createDataFrame(rows, pricing.SCHEMA).select("seed", _joined("members"), "value", "bound", "exact")
+
+_RUNS = """run AS (SELECT c AS col_id, list(id ORDER BY id) AS m, (1 + c % 9) / 10 AS z FROM (SELECT id, unnest([id, id + 1, id + 2]) AS c FROM pts) GROUP BY c
+  UNION ALL SELECT 1000000 + c, list(id ORDER BY id), (1 + c % 4) / 5 FROM (SELECT id, unnest([id, id + 3, id + 6, id + 9, id + 12]) AS c FROM pts) GROUP BY c),
+mem AS (SELECT col_id, z, len(m) AS n, unnest(m) AS id FROM run),
+cp AS (SELECT a.col_id AS t1, b.col_id AS t2, count(*) AS common, min(id) AS i1, any_value(1 - abs(a.z - 0.5) - abs(b.z - 0.5)) AS score FROM mem a JOIN mem b USING (id) WHERE a.col_id < b.col_id GROUP BY a.col_id, b.col_id, a.n HAVING count(*) < a.n)"""
+
+
+def _runs(spark, sf) -> DataFrame:
+    """Two columns for about every point: of three consecutive ids, and of five ids with steps of three."""
+    p = _points(spark, sf).select("id")
+    one = p.select("id", F.explode(F.array(*(F.col("id") + k for k in range(3)))).alias("col_id"))
+    two = p.select("id", F.explode(F.array(*(F.col("id") + k for k in range(0, 15, 3)))).alias("col_id"))
+    sets = lambda x: x.groupBy("col_id").agg(F.sort_array(F.collect_list("id")).alias("members"))  # noqa: E731  five ids at most
+    first = sets(one).withColumn("z", (1 + F.col("col_id") % 9) / 10)
+    return first.unionByName(sets(two).select((F.col("col_id") + 1000000).alias("col_id"), "members", ((1 + F.col("col_id") % 4) / 5).alias("z")))
+
+
+@query(_with(_P, _RUNS) + "SELECT t1, t2, common, i1, round(score, 6) AS score FROM cp")
+def ryan_foster_columns(spark, sf):
+    """The pairs of fractional columns that overlap, with their first common member."""
+    return columns.column_pairs(_runs(spark, sf)).select("t1", "t2", "common", "i1", _r("score"))
+
+
+@query(_with(_P, _RUNS, "bst AS (SELECT * FROM cp ORDER BY round(score, 9) DESC, t1, t2 LIMIT 1)") + "SELECT t1, t2, i1, (SELECT min(id) FROM mem WHERE col_id = t1 AND id NOT IN (SELECT id FROM mem WHERE col_id = t2)) AS i2, round(score, 6) AS score FROM bst")
+def ryan_foster_column_pair(spark, sf):
+    """The overlapping columns nearest to a half, and the pair of members to branch on."""
+    return columns.column_branching_pair(_runs(spark, sf)).select("t1", "t2", "i1", "i2", _r("score"))
+
+
+@query()
+def coverage_patch(spark, sf):
+    """The greedy cover of all points by the columns of the pool."""
+    return columns.coverage_patch(_runs(spark, sf), _points(spark, sf).select("id"))[0]
 
 
 def _label_means(spark, sf) -> DataFrame:
@@ -587,10 +678,13 @@ def label_count(spark, sf):
 @query(_with(_P, _L, _C, _D, _COLS) + "SELECT a.col_id::BIGINT AS a, b.col_id::BIGINT AS b, len(list_intersect(a.m, b.m))::INT AS n_both, (len(a.m) - len(list_intersect(a.m, b.m)))::INT AS n_only_a FROM col a JOIN col b ON a.col_id < 100 AND b.col_id >= 100")
 def column_overlap(spark, sf):
     """Members that columns of two partitions have in common, and that only the first has."""
-    c = kept(_columns(spark, sf).select("col_id", "members"))
-    a, b = (c.where(w).select(F.col("col_id").alias(s), F.col("members").alias("m" + s)) for s, w in (("a", "col_id < 100"), ("b", "col_id >= 100")))
-    x = a.join(F.broadcast(b))  # one row per column of a partition into ten
-    return x.select("a", "b", F.size(F.array_intersect("ma", "mb")).alias("n_both"), F.size(F.array_except("ma", "mb")).alias("n_only_a"))
+    c = kept(_columns(spark, sf).select("col_id", F.explode("members").alias("id")))
+    a, b = (c.where(w).select(F.col("col_id").alias(s), "id") for s, w in (("a", "col_id < 100"), ("b", "col_id >= 100")))
+    both = a.join(b, "id").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    names = b.select("b").distinct()  # a name for each column, without members
+    every = a.groupBy("a").agg(F.count(F.lit(1)).alias("size")).crossJoin(F.broadcast(names)).join(both, ["a", "b"], "left")
+    n = F.coalesce("n", F.lit(0))
+    return every.select("a", "b", n.cast("int").alias("n_both"), (F.col("size") - n).cast("int").alias("n_only_a"))
 
 
 _RC = f"rcs AS (SELECT col_id::BIGINT AS col_id, any_value(cost) + 1.5 - sum({LAM} * d2) AS rc FROM (SELECT col_id, cost, unnest(m) AS id FROM col) JOIN own USING (id) GROUP BY col_id)"

@@ -8,6 +8,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = (
     "norms label_centroids label_cost total_cost huygens_cost centroids_with_empty assign_nearest second_nearest lloyd_step dual_lower_bound "
     "initial_columns graph_density disc_vertices isolated_discs vertex_sbase candidate_sets singleton_rc column_filter ryan_foster_pair label_extraction k_sweep_cost "
+    "jump_candidates jump_screen kmeanspp_seeds farthest_first_seeds qp_exhaustive fractional_ratio pricing_counts ryan_foster_columns ryan_foster_column_pair isolated_index_sets same_components "
     "graph_edges oriented_neighborhoods bnb_result bnb_assignment subproblem_gradient label_count column_overlap negative_columns best_columns"
 ).split()
 
