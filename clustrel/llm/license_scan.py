@@ -5,8 +5,9 @@ GRAM words in a row are hashed, and of each WINDOW such hashes in a row, in text
 GRAM + WINDOW - 1 words in common share one. The templates' fingerprints are an inverted index from hash to
 template and position: its size is that of the templates, a fixed list, so it goes to every task. Templates of
 fewer than SHORT words are met wherever as many of their words as the coverage asks for stand within twice
-their length, so that no edit hides them; long ones need a fingerprint in common. The text around hits is
-aligned to the template (matches 1, others -1), and what an alignment leaves is aligned again. What is reported is the share of
+their length, so that no edit hides them; long ones need a fingerprint in common. Hits whose diagonals (position
+in the text less that in the template) lie within half a template of each other are one band; its text is
+aligned to the template within the band (matches 1, others -1), and what an alignment leaves is aligned again. What is reported is the share of
 the template's words that match, and the span of the text, in code points, end exclusive.
 
 Edge cases: a null or empty text has no hits; texts are read whole; several notices in one text are reported
@@ -16,7 +17,7 @@ each for itself; an empty table gives no rows; columns other than id and text ar
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -132,50 +133,74 @@ class Index:
         return found
 
 
+#: Of a cell of an alignment, in one number: what a score of one, and a match, are worth; the first word's place is the rest.
+_POINT, _MATCHED = 1 << 46, 1 << 31
+
+
 def align(text: list[int], template: list[int], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """The best local alignment with text position minus template position within a band of diagonal: matches, first and end of the text's words."""
-    best = (0, 0, 0, 0)  # score, matches, first, end
-    row: dict[int, tuple[int, int, int]] = {}  # by template position: score, matches, first
+    """The best local alignment with text position minus template position within a band of diagonal: matches, first and end of the text's words.
+
+    Rows of the band are arrays. Of equal scores the one with more matches counts, then the one that begins later.
+    """
+    words, n = np.array(template), len(template)
+    ramp = np.arange(n, dtype=np.int64) * _POINT
+    row = np.zeros(n + 1, np.int64)  # by template position + 1; 0 where no alignment ends
+    best, end = 0, 0
     for i, w in enumerate(text):
-        new: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(0, i - diagonal - band), min(len(template), i - diagonal + band + 1)):
-            s, m, f = row.get(j - 1, (0, 0, i))
-            same = w == template[j]
-            cell = (s + (1 if same else -1), m + same, f if s else i)
-            for near in (row.get(j), new.get(j - 1)):
-                if near and near[0] - 1 > cell[0]:
-                    cell = (near[0] - 1, near[1], near[2])
-            if cell[0] > 0:
-                new[j] = cell
-                if (cell[0], cell[1]) > best[:2]:
-                    best = (cell[0], cell[1], cell[2], i + 1)
-        row = new
-    return best[1:]
-
-
-def shared(words: list[int], template: Counter) -> int:
-    """At most so many of the words match the template, in any alignment."""
-    return sum(min(n, template[w]) for w, n in Counter(w for w in words if w in template).items())
-
-
-def every(h: list[int], template: list[int], need: int) -> Iterator[tuple[int, int, int]]:
-    """matches, first and end of the template's alignments of at least so many matches, apart from each other.
+        lo, hi = max(0, i - diagonal - band), min(n, i - diagonal + band + 1)
+        if lo >= hi:
+            continue
+        before = row[lo:hi]
+        cell = np.where(before > 0, before, i) + np.where(words[lo:hi] == w, _POINT + _MATCHED, -_POINT)
+        np.maximum(cell, row[lo + 1 : hi + 1] - _POINT, out=cell)
+        cell = np.maximum.accumulate(cell + ramp[lo:hi]) - ramp[lo:hi]  # words of the template left out
+        cell[cell < _POINT] = 0
+        row[lo + 1 : hi + 1] = cell
+        row[lo] = 0
+        top = int(cell.max())
+        if top // _MATCHED > best // _MATCHED:
+            best, end = top, i + 1
+            if top // _POINT == n:  # the whole template as it is: nothing that follows is better
+                break
+    return best % _POINT // _MATCHED, best % _MATCHED, end
+
+
+def places(template: list[int]) -> dict[int, int]:
+    """Of each word of a template, its positions as bits."""
+    out: dict[int, int] = defaultdict(int)
+    for j, w in enumerate(template):
+        out[w] |= 1 << j
+    return out
+
+
+def in_order(words: list[int], bits: dict[int, int], n: int) -> int:
+    """The most words that any alignment could match: the longest common subsequence with the template of n words, a row of it in the bits of a number."""
+    full = row = (1 << n) - 1
+    for w in words:
+        if w in bits:
+            both = row & bits[w]
+            row = (row + both | row - both) & full
+    return n - row.bit_count()
+
+
+def every(h: list[int], template: list[int], need: int, diagonal: int, band: int) -> Iterator[tuple[int, int, int]]:
+    """matches, first and end of the template's alignments of at least so many matches within the band, apart from each other.
 
     An alignment has fewer errors than matches, so it is shorter than two templates; a window of four holds
     all that start in its first half. After the best of a window what lies before it is searched, then what follows.
     """
-    n, have = len(template), Counter(template)
+    n, have = len(template), places(template)
     todo = [(0, len(h))]
     while todo:
         s, hi = todo.pop()
         if hi - s < need:
             continue
         window = h[s : min(hi, s + 4 * n)]
-        if shared(window, have) < need:
+        if in_order(window, have, n) < need:
             if s + 4 * n < hi:
                 todo.append((s + 2 * n + 1, hi))
             continue
-        matched, first, end = align(window, template, 0, 5 * n)
+        matched, first, end = align(window, template, diagonal - s, band)
         first, end = s + first, s + end
         if first >= s + 2 * n:  # it may go on beyond the window
             todo += [(first, hi), (s, first)]
@@ -191,27 +216,27 @@ def scan(text: str | None, index: Index, coverage: float = COVERAGE) -> list[tup
     if not text:
         return []
     low, starts, ends, h = tokens(text)
-    ranges: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    ranges: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)  # first and end in the text, and the band
     for k, pairs in index.hits(h).items():
         n = len(index.words[k])
-        ranges[k] += [(p - i - BAND, p - i + n + BAND) for p, i in pairs]
+        diagonals = np.unique(np.array([p - i for p, i in pairs]))
+        cuts = np.flatnonzero(np.diff(diagonals) > n // 2 + BAND) + 1  # an alignment leaves out fewer words than either side of them matches
+        for part in np.split(diagonals, cuts):
+            lo, hi = int(part[0]), int(part[-1])
+            ranges[k].append((lo - BAND, hi + n + BAND, (lo + hi) // 2, (hi - lo) // 2 + 1 + BAND))
     for k, at in index.near(h):
         n, need = len(index.words[k]), needed(index.words[k], coverage)
         if len(at) >= need:
-            close = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < 2 * n)
-            ranges[k] += [(int(at[j]) - 2 * n, int(at[j]) + 2 * n) for j in close]
+            close = at[np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < 2 * n)]
+            for part in np.split(close, np.flatnonzero(np.diff(close) > 4 * n) + 1) if len(close) else ():
+                lo, hi = int(part[0]) - 2 * n, int(part[-1]) + 2 * n
+                ranges[k].append((lo, hi, (lo + hi) // 2, hi - lo + n))
     found = []
     for k, spans in ranges.items():
         template = index.words[k]
-        merged: list[list[int]] = []
-        for lo, hi in sorted(spans):
-            if merged and lo <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], hi)
-            else:
-                merged.append([lo, hi])
-        for lo, hi in merged:
+        for lo, hi, diagonal, band in spans:
             lo = max(0, lo)
-            for matched, first, end in every(h[lo:hi].tolist(), template, needed(template, coverage)):
+            for matched, first, end in every(h[lo:hi].tolist(), template, needed(template, coverage), diagonal - lo, band):
                 found.append((index.names[k], matched / len(template), matched, len(template), lo + first, lo + end))
     kept: list[tuple] = []
     for f in sorted(set(found), key=lambda f: (-f[2], -f[1], f[0], f[4])):

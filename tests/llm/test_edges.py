@@ -242,3 +242,56 @@ def test_sets_whose_first_hashes_all_collide_are_still_told_apart(monkeypatch):
     plain = [H.shingles(t.decode(), 3) for t in texts]
     assert [len(x[0]) for x in sets] == [len(p) for p in plain]
     assert all(jaccard_join.in_common(x, y) == len(p & q) for x, p in zip(sets, plain, strict=True) for y, q in zip(sets, plain, strict=True))
+
+
+def test_many_whole_licenses_and_scraps_are_aligned_in_time():
+    import time
+
+    index = license_scan.Index(license_scan.TEMPLATES)
+    mit = license_scan.TEMPLATES["MIT-full"]
+    began = time.process_time()
+    assert [(g[0], g[1]) for g in license_scan.scan(" ".join([mit] * 100), index)] == [("MIT-full", 1.0)] * 100
+    words, rng = mit.split(), random.Random(1)
+    scraps = " ".join(" ".join(words[k : k + 4]) for k in (rng.randrange(len(words) - 4) for _ in range(5000)))
+    license_scan.scan(scraps, index)
+    assert time.process_time() - began < 8
+
+
+def test_all_templates_in_one_text_equal_each_by_itself():
+    rng = random.Random(11)
+    names = sorted(license_scan.TEMPLATES)
+    index = license_scan.Index(license_scan.TEMPLATES)
+    for _ in range(25):
+        text, want = "", []
+        for name in rng.sample(names, 4):
+            text += " ".join(f"filler{rng.randrange(10**6)}" for _ in range(rng.randint(3, 400))) + "\n"
+            words = license_scan.TEMPLATES[name].split()
+            if len(words) >= license_scan.SHORT:
+                for _ in range(len(words) // 25):
+                    words[rng.randrange(len(words))] = "changed"
+                if rng.random() < 0.5:
+                    at = rng.randrange(len(words))
+                    words[at:at] = ["inserted"] * rng.randint(1, len(words) // 5)
+            body = " ".join(words)
+            alone = license_scan.scan(body, index)
+            want += [(*g[:4], g[4] + len(text), g[5] + len(text)) for g in alone]
+            text += body + "\n"
+        assert license_scan.scan(text, index) == want and want
+
+
+def test_bands_of_long_notices_equal_the_whole_plane():
+    rng = random.Random(12)
+    for name in ("MIT-full", "Apache-2.0", "BSD-3-Clause"):
+        if name not in license_scan.TEMPLATES:
+            continue
+        index = license_scan.Index({name: license_scan.TEMPLATES[name]})
+        own = index.words[0]
+        for _ in range(12):
+            words = license_scan.TEMPLATES[name].split()
+            for _ in range(rng.randint(0, len(words) // 8)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randint(0, 2)] = ["odd"] * rng.randint(0, 4)
+            text = "before it " * rng.randint(0, 50) + " ".join(words) + " after it" * rng.randint(0, 50)
+            h = license_scan.tokens(text)[3].tolist()
+            matched = license_scan.align(h, own, 0, len(h) + len(own))[0]
+            assert [g[2] for g in license_scan.scan(text, index)] == ([matched] if matched >= license_scan.COVERAGE * len(own) else [])
