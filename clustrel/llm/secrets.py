@@ -3,8 +3,9 @@
 Three kinds of spans come from fixed patterns (assign, access, hex). The kind ``literal`` comes from lexing
 assignments in source and configuration syntax (``name = "x"``, ``name: x``, ``"name": "x"``, ``name => x``,
 ``export NAME=x``, ``obj.name = x``, ``obj["name"] = x``, ``name ?= x``, ``#define NAME x``, ``<name>x</name>``,
-``name="x"`` in tags, lists in brackets, blocks of YAML, strings in three quotes, ``new String("x")``): each
-gives a name and an expression of literals and names joined by ``+`` or ``..``. A name that was assigned earlier stands for its
+``name="x"`` in tags, lists in brackets, blocks of YAML, strings in three quotes or with a prefix, ``new String("x")``,
+``name: type = x``, ``name[] = x``, ``name = ("x" "y")``, ``getenv("NAME", "x")``, ``name = bytes("x")``): each
+gives a name and an expression of literals and names joined by ``+``, ``..``, ``.``, ``or``, ``||``, ``??`` or standing side by side. A name that was assigned earlier stands for its
 literals, so that a constant under a plain name is found where it reaches a sensitive one. A literal's score
 is the sensitivity of the target name times what its characters say against a word or a placeholder. A literal
 within a base span makes no span of its own: it gives that span its target's name and its score (0 without one).
@@ -52,13 +53,21 @@ _HEX_BYTE = np.zeros(256, bool)
 _HEX_BYTE[list(b"0123456789abcdef")] = True
 _STRING = r"\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
 _SITE = re.compile(
-    r"""(?:(?<![\w.])|(?<=\[))(?P<q>["']?)(?P<name>[A-Za-z_][\w.-]*(?:\[["'][\w.-]+["']\])*)(?P=q)[\x20\t]*(?:[:?]=|=>|=(?!=)|:(?!:|//))[\x20\t]*(?=[^\s=])
+    r"""(?:(?<![\w.])|(?<=\[))(?P<q>["']?)(?P<name>[A-Za-z_][\w.-]*(?:\[["'][\w.-]+["']\])*)(?P=q)
+        (?:[\x20\t]*:[\x20\t]*[&*]?(?:'\w+[\x20\t]+)?[A-Za-z_][\w.<>\[\]]{0,60}(?:[\x20\t]*\|[\x20\t]*\w{1,30})?[\x20\t]+=(?!=)|\[\w{0,20}\][\x20\t]*=(?!=)|[\x20\t]*(?:[:?]=|=>|=(?!=)|:(?!:|//)))[\x20\t]*(?=[^\s=])
+    |(?<=[\w.])(?:getenv|get|env|setdefault|getProperty)\([\x20\t]*["'](?P<arg>[A-Za-z_][\w.-]*)["'][\x20\t]*,[\x20\t]*(?=[bBrRuUfF]{0,2}["'])
     |\#[\x20\t]*define[\x20\t]+(?P<macro>[A-Za-z_]\w*)[\x20\t]+(?=\S)
     |<(?P<tag>[A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>(?=[^<\s])""",
     re.A | re.X,
 )
-_TERM = re.compile(rf"(?P<s>{_STRING})|(?:new[\x20\t]+[A-Za-z_][\w.]*\((?=[\"'`]))|(?P<n>[A-Za-z_][\w.]*(?![\w.+/=-]*[0-9+/=~!@#%^&*-]))|(?P<b>[A-Za-z0-9+/_.=~!@#%^&*-]+)", re.A)
-_JOIN = re.compile(r"[\x20\t]*(?:\+|\.\.)[\x20\t]*")
+_TERM = re.compile(rf"(?:[bBrRuUfF]{{1,2}}|[@$L])?(?P<s>{_STRING})|(?:new[\x20\t]+[A-Za-z_][\w.]*\((?=[\"'`]))|(?P<n>[A-Za-z_][\w.]*(?![\w.+/=-]*[0-9+/=~!@#%^&*-]))|(?P<b>[A-Za-z0-9+/_.=~!@#%^&*-]+)", re.A)
+#: What joins terms: signs, alternatives, or nothing between two strings.
+_JOIN = re.compile(r"[\x20\t]*(?:\+|\.\.|\|\||\?\?)[\x20\t]*|[\x20\t]+(?:\.|or)[\x20\t]+|[\x20\t]+(?=[bBrRuUfF]{0,2}[\"'])")
+_ROWS = re.compile(r"\s*(?:\+\s*)?(?=[bBrRuUfF]{0,2}[\"'])")
+_PAREN = re.compile(r"\(\s*(?=[bBrRuUfF]{0,2}[\"'])")
+#: Calls that hand on the literals among their arguments, and the arguments of a call.
+_WRAPS = frozenset("str bytes bytearray string secretstr secret b64decode decode encode unhexlify fromhex quote".split())
+_ARGS = re.compile(r"\([^()\n]{0,500}\)")
 _COMMA = re.compile(r"\s*,\s*")
 _LIST = re.compile(r"\[\s*")
 #: A block of lines after a name in YAML: its first line is the value.
@@ -109,7 +118,7 @@ def assignments(text: str) -> Iterator[tuple[str, Reach]]:
     """Each assigned name and what reaches it, constants of earlier assignments included."""
     constants: dict[str, Reach] = {}
     for site in _SITE.finditer(text):
-        name, at, own, taken = site["name"] or site["macro"] or site["tag"], site.end(), [], []
+        name, at, own, taken = site["name"] or site["arg"] or site["macro"] or site["tag"], site.end(), [], []
         if site["tag"]:
             value = _TAGGED.match(text, at)
             own.append((*value.span(), value[0]))
@@ -120,11 +129,13 @@ def assignments(text: str) -> Iterator[tuple[str, Reach]]:
             at, join = opened.end(), _COMMA
         elif block := _BLOCK.match(text, at):
             at = block.end()
+        elif opened := _PAREN.match(text, at):
+            at, join = opened.end(), _ROWS
         while term := _TERM.match(text, at):
             at = term.end()
             if term["s"] is not None:
                 edge = 3 if term["s"][:3] in ('"""', "'''") and len(term["s"]) >= 6 else 1
-                own.append((term.start() + edge, term.end() - edge, term["s"][edge:-edge]))
+                own.append((term.start("s") + edge, term.end("s") - edge, term["s"][edge:-edge]))
             elif term["n"] is not None and term["n"] in constants:
                 taken.append(constants[term["n"]])
             elif term["n"] is None and term["b"] is None:
@@ -133,6 +144,15 @@ def assignments(text: str) -> Iterator[tuple[str, Reach]]:
                 start, end = term.span()
                 bare = term[0].rstrip(".,;")
                 own.append((start, end - (len(term[0]) - len(bare)), bare))
+            else:  # a call: what it is made on, and the literals that it wraps
+                base, _, last = term["n"].rpartition(".")
+                if base in constants:
+                    taken.append(constants[base])
+                if args := _ARGS.match(text, at):
+                    if last.lower() in _WRAPS:
+                        inner = (m for m in _TERM.finditer(text, at, args.end()) if m["s"] is not None)
+                        own += [(m.start("s") + 1, m.end("s") - 1, m["s"][1:-1]) for m in inner]
+                    at = args.end()
             if not (more := join.match(text, at)):
                 break
             at = more.end()

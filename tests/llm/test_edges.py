@@ -70,6 +70,12 @@ def test_rules_leave_columns_of_any_name(spark):
 @pytest.mark.parametrize("text,found", [
     ('#define DB_PWD "hunter2Xy9!kk"', ["hunter2Xy9!kk"]), ('pwd = """hunter2Xy9!kk"""', ["hunter2Xy9!kk"]), ('secretKey = new String("hunter2Xy9!kk")', ["hunter2Xy9!kk"]),
     ('"api_keys": ["Zx81kPq0LmN4a", "Yx81kPq0LmN4b"]', ["Zx81kPq0LmN4a", "Yx81kPq0LmN4b"]), ("<pwd>hunter2Xy9!kk</pwd>", ["hunter2Xy9!kk"]), ("db_pass: |\n  hunter2Xy9!kk\n", ["hunter2Xy9!kk"]),
+    ('pwd = b"hunter2Xy9!kk"', ["hunter2Xy9!kk"]), ("pwd = f'hunter2Xy9!kk'", ["hunter2Xy9!kk"]), ("pwd = rb'hunter2Xy9!kk'", ["hunter2Xy9!kk"]), ('pwd = u"""hunter2Xy9!kk"""', ["hunter2Xy9!kk"]),
+    ('pwd = ("hunter2Xy9!kk" "Zx81kPq0LmN4a")', ["hunter2Xy9!kk", "Zx81kPq0LmN4a"]), ('pwd = (\n  "hunter2Xy9!kk"\n  b"Zx81kPq0LmN4a"\n)', ["hunter2Xy9!kk", "Zx81kPq0LmN4a"]), ('pwd = "hunter2Xy9!kk" "Zx81kPq0LmN4a"', ["hunter2Xy9!kk", "Zx81kPq0LmN4a"]),
+    ('pwd: str = "hunter2Xy9!kk"', ["hunter2Xy9!kk"]), ('const dbPwd: string = "hunter2Xy9!kk"', ["hunter2Xy9!kk"]), ('let pwd: &str = "hunter2Xy9!kk";', ["hunter2Xy9!kk"]), ("let pwd: &'static str = \"hunter2Xy9!kk\";", ["hunter2Xy9!kk"]), ('pwd: str | None = "hunter2Xy9!kk"', ["hunter2Xy9!kk"]),
+    ('char pwd[] = "hunter2Xy9!kk"', ["hunter2Xy9!kk"]), ("$pwd = 'hunter2Xy9!kk' . 'Zx81kPq0LmN4a'", ["hunter2Xy9!kk", "Zx81kPq0LmN4a"]), ('x = os.getenv("DB_PWD", "hunter2Xy9!kk")', ["hunter2Xy9!kk"]), ('x = os.environ.get("DB_PWD", "hunter2Xy9!kk")', ["hunter2Xy9!kk"]),
+    ('pwd = x or "hunter2Xy9!kk"', ["hunter2Xy9!kk"]), ('pwd = os.environ.get("X") or "hunter2Xy9!kk"', ["hunter2Xy9!kk"]), ('pwd = x ?? "hunter2Xy9!kk"', ["hunter2Xy9!kk"]), ('x = "hunter2Xy9!kk"\npwd = x.strip()', ["hunter2Xy9!kk"]), ('pwd = bytes("hunter2Xy9!kk", "utf8")', ["hunter2Xy9!kk"]),
+    ("pwd = getpass.getpass('Password:')", []), ('pwd = ask("hunter2Xy9!kk")', []), ("pwd: abcd=efgh1Xy9!k", ["abcd=efgh1Xy9!k"]), ('name: str = "hunter2Xy9!kk"', []), ('x = d.get("title", "hunter2Xy9!kk")', []),
     ("DB_PASS ?= hunter2Xy9!kk", ["hunter2Xy9!kk"]), ("a < b and c > d: x", []), ("<p>hunter2Xy9!kk</p>", []), ("pwd = ''''''", []),
 ])
 def test_literals_of_more_forms(text, found):
