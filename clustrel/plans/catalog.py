@@ -6,13 +6,14 @@ own centroid, so that all queries are fixed by the data.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clustrel.functions.vectors import gap_pct, plane_sq, sq_dist, sq_norm
-from clustrel.operators import assign, columns, discs, fractional, graph, jumps, multipricing, seeding
+from clustrel.operators import ascent, assign, columns, discs, fractional, graph, jumps, multipricing, seeding
 from clustrel.shared import kept
 from clustrel.sources.points import read_vectors
 
@@ -366,6 +367,32 @@ def aux2d_best(spark, sf):
     return discs.best_set(_discs(spark, sf)).select("members", _r("cost"), _r("rc"))
 
 
+_LENGTH, _ASCENT = 0.25, 2
+
+
+def _ascent_sql() -> str:
+    """The chain from discs to the best set for each step's duals, and what a step makes of them."""
+    names = re.compile(r"\b(dsc|prs|rel|hit|off|ver|sb|iso|ist|cnd|prc)\b")
+    pairs = _DC[_DC.index("prs AS") :]
+    ctes = [_P, _DC[: _DC.index(",\nprs AS")].replace("dsc AS", "l0 AS"), f"e0 AS (SELECT {_LENGTH} AS length, -1e300 AS best, 0 AS centre)"]
+    for k in range(_ASCENT + 1):
+        chain = f"dsc AS (SELECT id, x, y, lam FROM l{k}),\n{pairs},\n{_V}"
+        ctes.append(names.sub(rf"\1_{k}", chain))
+        ctes.append(f"b{k} AS MATERIALIZED (SELECT members, rc, (SELECT sum(lam) FROM l{k}) + {K} * least(0, rc) AS bound FROM prc_{k} WHERE feasible ORDER BY round(rc, 9), members LIMIT 1)")
+        ctes.append(f"e{k + 1} AS MATERIALIZED (SELECT CASE WHEN b.bound > e.best THEN e.length ELSE e.length / 2 END AS length, greatest(b.bound, e.best) AS best, CASE WHEN b.bound > e.best THEN {k} ELSE e.centre END AS centre FROM b{k} b, e{k} e)")
+        centres = " UNION ALL ".join(f"SELECT l.*, list_contains(string_split(b.members, ','), l.id::VARCHAR) AS held, (SELECT avg(lam) FROM l{j}) AS mean FROM l{j} l, b{j} b, e{k + 1} e WHERE e.centre = {j}" for j in range(k + 1))
+        ctes.append(f"l{k + 1} AS MATERIALIZED (SELECT c.id, c.x, c.y, greatest(c.lam + e.length * c.mean * (1 - CASE WHEN c.held THEN {K} ELSE 0 END), 0) AS lam FROM ({centres}) c, e{k + 1} e)")
+    return _with(*ctes) + " UNION ALL ".join(f"SELECT {k}::INT AS step, round(bound, 6) AS bound, round(best, 6) AS best FROM b{k}, e{k + 1}" for k in range(_ASCENT + 1))
+
+
+@query(_ascent_sql())
+def plane_dual_bound(spark, sf):
+    """Bounds of the first steps of dual ascent over the first two coordinates, every one below the cost of any ten clusters."""
+    steps, _ = ascent.plane_dual_bound(_discs(spark, sf), K, _ASCENT, _LENGTH)
+    rows = [(s.step, s.bound, s.best) for s in steps]
+    return spark.createDataFrame(rows, "step int, bound double, best double").select("step", _r("bound"), _r("best"))
+
+
 @query(_with(_P, _L, _C, _D, _N) + "SELECT id, round((SELECT avg(lam) FROM nod) - lam, 6) AS rc FROM nod")
 def singleton_rc(spark, sf):
     n = _nodes(spark, sf)
