@@ -39,14 +39,33 @@ def satisfying(cols: DataFrame, same: DataFrame, diff: DataFrame) -> DataFrame:
 
 
 def cooccurrence(cols: DataFrame) -> DataFrame:
-    """a < b, frac: the summed z of the columns that hold both."""
+    """a < b, frac: the summed z of the columns that hold both. As many rows as pairs within columns; ``branching_pair`` goes without them."""
     x = cols.where("z > 0").select("z", F.col("members").alias("m"), F.explode("members").alias("a"))
     return x.select("z", "a", F.explode("m").alias("b")).where("a < b").groupBy("a", "b").agg(F.sum("z").alias("frac"))
 
 
+def member_classes(cols: DataFrame) -> DataFrame:
+    """cols, least, next of the members of columns of positive z that lie in the same of them: the least member, and the next where there is one."""
+    held = cols.where("z > 0").select("col_id", F.explode(F.array_distinct("members")).alias("id"))
+    sign = kept(held.groupBy("id").agg(F.sort_array(F.collect_list("col_id")).alias("cols")))  # as many as there are columns over a member
+    first = sign.groupBy("cols").agg(F.min("id").alias("least"))
+    second = sign.join(first, "cols").where("id > least").groupBy("cols").agg(F.min("id").alias("next"))
+    return first.join(second, "cols", "left").select("cols", "least", "next")
+
+
 def branching_pair(cols: DataFrame) -> DataFrame:
-    """a, b, frac of the pair whose frac is nearest to a half, if any is fractional; ties go by the pair."""
-    frac = cooccurrence(cols).where((F.col("frac") > EPS) & (F.col("frac") < 1 - EPS))
+    """a, b, frac of the pair whose frac is nearest to a half, if any is fractional; ties go by the pair.
+
+    Members that lie in the same columns are one class, so pairs are those of classes, not of members: two classes
+    give the pair of their least members, and a class by itself that of its two least.
+    """
+    classes = kept(member_classes(cols))
+    z = cols.where("z > 0").select("col_id", "z")
+    at = classes.select("least", F.explode("cols").alias("col_id"))
+    two = at.select(F.col("least").alias("b"), "col_id")
+    apart = at.select(F.col("least").alias("a"), "col_id").join(two, "col_id").where("a < b").join(z, "col_id").groupBy("a", "b").agg(F.sum("z").alias("frac"))
+    within = classes.where("next is not null").select(F.col("least").alias("a"), F.col("next").alias("b"), F.explode("cols").alias("col_id")).join(z, "col_id").groupBy("a", "b").agg(F.sum("z").alias("frac"))
+    frac = apart.unionByName(within).where((F.col("frac") > EPS) & (F.col("frac") < 1 - EPS))
     return frac.agg(F.min(F.struct(F.round(F.abs(F.col("frac") - 0.5), 9).alias("off"), "a", "b", "frac")).alias("p")).where("p is not null").select("p.a", "p.b", "p.frac")
 
 

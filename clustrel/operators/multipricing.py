@@ -13,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clustrel.operators import fractional, pricing
+from clustrel.functions.vectors import sq_dist
+from clustrel.operators import fractional, graph, pricing
+from clustrel.operators.columns import same_components
 from clustrel.shared import kept
 
 #: Rows of a group that is searched in one task.
@@ -24,26 +26,73 @@ EPS = 1e-6
 def _searched(limit: int):
     def run(rows: pa.Table) -> pa.Table:
         ids, seed = rows.column("id").to_numpy(), rows.column("seed")[0].as_py()
-        order = np.argsort(ids)
-        x, lam = np.array(rows.column("features").combine_chunks().flatten()).reshape(len(ids), -1)[order], rows.column("lam").to_numpy()[order]
-        ids = ids[order]
-        own = pricing.Items(np.ones(len(ids)), x, np.zeros(len(ids)), lam, set(), [[i] for i in range(len(ids))])
-        at = int(np.searchsorted(ids, seed))
+        rows = rows.take(np.argsort(ids))
+        ids = np.sort(ids)
+        x = np.array(rows.column("features").combine_chunks().flatten()).reshape(len(ids), -1)
+        weight, inner, lam = (rows.column(c).to_numpy() for c in ("weight", "inner", "lam"))
+        place = {int(i): k for k, i in enumerate(ids)}
+        apart = {(min(k, place[o]), max(k, place[o])) for k, foes in enumerate(rows.column("foes").to_pylist()) for o in foes or () if o in place}
+        own = pricing.Items(weight, x, inner, lam, apart, [[i] for i in range(len(ids))])
+        at = place[seed]
         value, chosen, bound, exact = pricing.search(own, at, np.delete(np.arange(len(ids)), at), limit)
         return pa.table({"seed": [seed], "members": pa.array([sorted(ids[chosen].tolist())], pa.list_(pa.int64())), "value": [value], "bound": [bound], "exact": [exact]})
 
     return run
 
 
+def contracted(points: DataFrame, same: DataFrame, diff: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """nodes(id, features, lam, weight, inner), apart(i, j) and members(id, member) under branching constraints.
+
+    Points (id, features, lam) that must stay together, same(i, j) at any remove, are one node under their least id: their mean, their number,
+    their cost around it, and their summed duals. apart has the pairs of nodes that diff(i, j) parts; a pair within one node raises, as no set can hold it.
+    """
+    home = same_components(same).withColumnRenamed("id", "member")
+    named = kept(points.join(home, points["id"] == F.col("member"), "left").select(points["id"].alias("member"), F.coalesce("component", points["id"]).alias("id"), "features", "lam"))
+    long = named.select("id", F.posexplode("features").alias("dim", "v")).groupBy("id", "dim").agg(F.avg("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    mean = long.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("dim", "v"))).alias("m"), F.max("n").alias("n"))
+    mean = mean.select("id", F.transform("m", lambda s: s["v"]).alias("mean"), F.col("n").cast("double").alias("weight"))
+    each = named.join(mean, "id").groupBy("id").agg(F.sum(sq_dist(F.col("features"), F.col("mean"))).alias("inner"), F.sum("lam").alias("lam"))
+    nodes = mean.join(each, "id").select("id", F.col("mean").alias("features"), "lam", "weight", "inner")
+    at = named.select("member", "id")
+    one = diff.join(at.select(F.col("member").alias("i"), F.col("id").alias("a")), "i").join(at.select(F.col("member").alias("j"), F.col("id").alias("b")), "j")
+    ok = F.when(F.col("a") == F.col("b"), F.raise_error(F.lit("a pair that must part is held together")).cast("long")).otherwise(F.least("a", "b"))
+    return nodes, one.select(ok.alias("i"), F.greatest("a", "b").alias("j")).distinct(), at.select("id", "member")
+
+
+def constrained(points: DataFrame, same: DataFrame, diff: DataFrame, sigma: float = 0.0, limit: int = 2000) -> DataFrame:
+    """As ``priced``, over sets of points(id, features, lam) that hold both or neither of each same pair and not both of any diff pair; members are points.
+
+    A set of use holds no node farther from its mean than the root of (duals - inner cost) / weight, so nodes are
+    neighbours by those radii; pairs that must part lose their edge, and are kept apart within the groups too.
+    """
+    nodes, apart, members = contracted(points, same, diff)
+    nodes, apart = kept(nodes), kept(apart)
+    discs = nodes.select("id", "features", ((F.col("lam") - F.col("inner")) / F.col("weight")).alias("lam"))
+    e = kept(graph.without(graph.edges(discs), apart))
+    both = apart.unionByName(apart.select(F.col("j").alias("i"), F.col("i").alias("j")))
+    foes = both.groupBy(F.col("i").alias("id")).agg(F.collect_set("j").alias("foes"))  # as many as there are constraints on a node
+    found = kept(priced(nodes.join(foes, "id", "left"), graph.oriented(nodes.select("id"), e), sigma, limit))
+    own = found.select("seed", F.explode("members").alias("id")).join(members, "id").groupBy("seed").agg(F.sort_array(F.collect_list("member")).alias("points"))
+    return found.join(own, "seed").select("seed", "n", "status", F.col("points").alias("members"), "rc", "bound", "exact")
+
+
 def groups(nodes: DataFrame, later: DataFrame, sigma: float = 0.0, below: float = -EPS) -> DataFrame:
     """seed, n, lam, bound, status of every group: 'single' without later neighbours, 'pruned' where sigma less all its duals isn't under ``below``, else 'searched'."""
-    held = pricing.lower_bounds(nodes, later)
-    rows = later.select("id", (F.size("later") + 1).alias("n")).join(held, "id").join(nodes.select("id", "lam"), "id")
-    bound = F.lit(sigma) - F.col("held")
+    own = _complete(nodes).select("id", (F.col("lam") - F.col("inner")).alias("lam"))
+    gain = own.select("id", F.greatest("lam", F.lit(0.0)).alias("lam"))  # what a node may add at most
+    more = pricing.lower_bounds(gain, later)
+    rows = later.select("id", (F.size("later") + 1).alias("n")).join(more, "id").join(own, "id")
+    bound = F.lit(sigma) - (F.col("held") - F.greatest("lam", F.lit(0.0)) + F.col("lam"))
     status = F.when(F.col("n") == 1, "single").when(bound >= below, "pruned").otherwise("searched")
     return rows.select(F.col("id").alias("seed"), "n", "lam", bound.alias("bound"), status.alias("status"))
 
 
+def _complete(nodes: DataFrame) -> DataFrame:
+    """nodes with weight 1, inner cost 0 and no foes where they have no such columns."""
+    more = {"weight": F.lit(1.0), "inner": F.lit(0.0), "foes": F.array().cast("array<bigint>")}
+    return nodes.withColumns({c: v for c, v in more.items() if c not in nodes.columns})
+
+
 def priced(nodes: DataFrame, later: DataFrame, sigma: float = 0.0, limit: int = 2000, below: float = -EPS) -> DataFrame:
     """seed, n, status, members, rc, bound, exact of every group: the set of least reduced cost that holds the seed.
 
@@ -51,13 +100,15 @@ def priced(nodes: DataFrame, later: DataFrame, sigma: float = 0.0, limit: int =
     left open. A group beyond MOST rows reports the set that the fractional iteration found among its rows, with the bound by duals.
     """
     every = kept(groups(nodes, later, sigma, below))
-    x = nodes.select("id", "features", "lam")
+    x = _complete(nodes).select("id", "features", "lam", "weight", "inner", "foes")
     wanted = every.where("status = 'searched'").select(F.col("seed").alias("id"), F.col("n").alias("rows"))
     pairs = later.join(wanted, "id").select(F.col("id").alias("seed"), "rows", F.explode(F.concat(F.array("id"), "later")).alias("id"))
     rows = kept(pairs.join(x, "id"))
     few = rows.where(F.col("rows") <= MOST).groupBy("seed").applyInArrow(_searched(limit), "seed long, members array<long>, value double, bound double, exact boolean")
     few = few.select("seed", "members", (F.col("value") + sigma).alias("rc"), (F.col("bound") + sigma).alias("low"), "exact")
     large = rows.where(F.col("rows") > MOST)
+    if "weight" in nodes.columns and not large.isEmpty():
+        raise ValueError(f"groups of more than {MOST} rows can't be searched under constraints")
     if not large.isEmpty():
         best, members = fractional.best_ratios(large, "seed")
         sets = members.groupBy("grp").agg(F.sort_array(F.collect_list("id")).alias("members"))

@@ -260,6 +260,19 @@ def jump_screen_2_steps(spark, sf):
     return jumps.screened(x, assign.centroids(x), 0.05, 2, DIM).select("cluster", "id", _r("est", 4))
 
 
+_MOVES = _with(_P, _L, _C, _RANK, _JUMP)
+
+
+@query(_MOVES + "SELECT e.cluster, e.id, row_number() OVER (PARTITION BY e.cluster ORDER BY round(est, 4), e.id) AS rank FROM est e JOIN rnk ON rnk.id = e.id AND r = 1 AND rnk.cluster <> e.cluster")
+def jump_ranking(spark, sf):
+    """The jumps to points of other clusters, by cost before any step."""
+    x = _labelled(spark, sf)
+    cents = assign.centroids(x)
+    own = assign.nearest(x.select("id", "features"), cents, DIM).select("id", F.col("cluster").alias("own"))
+    est = jumps.jump_costs(x, cents).select("cluster", "id", _r("est", 4)).join(own, "id").where("own <> cluster")
+    return jumps.ranked(est.select("cluster", "id", "est")).select("cluster", "id", "rank")
+
+
 def _far_sql(k: int) -> str:
     return f"f{k} AS (SELECT pts.id, pts.f, least(w.far, list_distance(pts.f, g.f)) AS far FROM pts JOIN f{k - 1} w USING (id), g{k - 1} g),\ng{k} AS (SELECT id, f FROM f{k} ORDER BY far DESC, id LIMIT 1)"
 
@@ -581,6 +594,16 @@ def priced_multi(spark, sf):
     return multipricing.entering(_priced(spark, sf, _mean_dual(spark, sf), 300)).select(_joined("members"), "rc")
 
 
+@query()
+def priced_constrained(spark, sf):
+    """The best set of every neighbourhood where each point with an id divisible by seven stays with the next, and parts from the one after that."""
+    n = kept(_nodes(spark, sf).select("id", "features", "lam"))
+    some = n.where("id % 7 = 0")
+    pair = lambda k: some.select(F.col("id").alias("i"), (F.col("id") + k).alias("j")).join(n.select(F.col("id").alias("j")), "j", "left_semi")
+    found = multipricing.constrained(n, pair(1), pair(2), 0.0, 300)
+    return found.select("seed", _joined("members"), F.col("rc").alias("value"), "bound", "exact")
+
+
 @query(
     _with(_P, _L, _C, _D, _N, _E, _DEG)
     + ", arc AS (SELECT d.id, b.id AS o FROM deg d JOIN (SELECT src, dst FROM edg UNION ALL SELECT dst, src FROM edg) e ON e.src = d.id JOIN deg b ON b.id = e.dst AND (b.degree, b.id) > (d.degree, d.id)),"

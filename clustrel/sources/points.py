@@ -74,6 +74,13 @@ def read_vectors(spark: SparkSession, path: str, id_col: str = "vec_id", col: st
     return df.select(F.col(id_col).alias("id"), F.transform(col, lambda v: v.cast("double")).alias("features"), *keep)
 
 
+def literal(spark: SparkSession, rows: Sequence[Sequence[float]]) -> DataFrame:
+    """Points written out in code; ids in their order."""
+    if len({len(r) for r in rows}) > 1:
+        raise ValueError("points of one table have one dimension")
+    return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rows)], "id long, features array<double>")
+
+
 def blobs(spark: SparkSession, n: int, k: int, dim: int = 2, spread: float = 0.5, seed: int = 0) -> DataFrame:
     """k Gaussian clouds of n // k points each around centres drawn from [0, 10 k)."""
     rows = spark.range(n // k * k).withColumn("label", (F.col("id") % k).cast("int"))

@@ -135,3 +135,30 @@ def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch):
     got = columns.same_components(spark.createDataFrame(ends, "i long, j long"))
     assert {(r["component"], r["n"]) for r in got.groupBy("component").agg(F.count(F.lit(1)).alias("n")).collect()} == {(0, 201), (500, 2)}
     assert len(rounds) <= 10
+
+
+def test_constrained_columns_equal_all_subsets(spark):
+    rng = np.random.default_rng(8)
+    x, lam = rng.normal(size=(10, 2)) * 1.2, rng.uniform(0.3, 2.5, 10)
+    same, diff = [(0, 1), (1, 4), (6, 7)], [(0, 2), (3, 8), (5, 6)]
+    pairs = lambda p: spark.createDataFrame(p, "i long, j long")
+    got = multipricing.constrained(nodes(spark, x, lam), pairs(same), pairs(diff), 1.0).collect()
+    rc = lambda s: 1.0 + ((x[s] - x[s].mean(0)) ** 2).sum() - lam[s].sum()
+    fine = [list(s) for n in range(1, 11) for s in itertools.combinations(range(10), n) if all((i in s) == (j in s) for i, j in same) and not any(i in s and j in s for i, j in diff)]
+    assert sorted(r["seed"] for r in got) == [0, 2, 3, 5, 6, 8, 9] and all(r["members"] in fine and r["rc"] == pytest.approx(rc(r["members"])) for r in got)
+    best = min(map(rc, fine))
+    assert min(r["rc"] for r in got) == pytest.approx(best) and min(r["bound"] for r in got) <= best + 1e-9
+    with pytest.raises(Exception, match="held together"):
+        multipricing.constrained(nodes(spark, x, lam), pairs(same), pairs([(0, 4)])).collect()
+
+
+def test_branching_pair_by_classes_equals_all_pairs(spark):
+    for seed in range(6):
+        rng = random.Random(seed)
+        sets = [rng.sample(range(10), rng.randint(1, 7)) for _ in range(6)]
+        z = [rng.choice([0.0, 0.2, 0.3, 0.5, 1.0]) for _ in sets]
+        cols = spark.createDataFrame([(k, sorted(s), v) for k, (s, v) in enumerate(zip(sets, z, strict=True))], "col_id long, members array<long>, z double")
+        frac = {(a, b): sum(v for s, v in zip(sets, z, strict=True) if a in s and b in s) for a, b in itertools.combinations(range(10), 2)}
+        some = [(round(abs(f - 0.5), 9), *p) for p, f in frac.items() if 1e-4 < f < 1 - 1e-4]
+        got = [(r["a"], r["b"]) for r in columns.branching_pair(cols).collect()]
+        assert got == ([min(some)[1:]] if some else [])

@@ -50,3 +50,35 @@ def test_header_separator_and_empty_files(spark, tmp_path):
     assert rows(src.read_csv(spark, str(tmp_path / "h.csv"), header=True, sep="|")) == [(0, [1.0, 2.0]), (1, [3.0, -40.0])]
     (tmp_path / "e.csv").write_text("\n\n")
     assert src.read_csv(spark, str(tmp_path / "e.csv")).count() == 0
+
+
+def test_literal_points_and_json(spark, tmp_path):
+    df = src.literal(spark, [[1, 2], [3, 4.5]])
+    assert rows(df) == [(0, [1.0, 2.0]), (1, [3.0, 4.5])] and src.literal(spark, []).count() == 0
+    with pytest.raises(ValueError):
+        src.literal(spark, [[1], [2, 3]])
+    src.write_json(df, str(tmp_path / "j"))
+    assert rows(spark.read.schema(df.schema).json(str(tmp_path / "j"))) == rows(df)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from clustrel import shared
+
+    class Conf:
+        def get(self, key):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="share"):
+        shared.folder(Session())
