@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clustrel.functions.vectors import gap_pct
-from clustrel.operators import heuristics, solver
+from clustrel.operators import jumps as moves
+from clustrel.operators import solver
 
 ROW = "k int, cost double, bound double, status string, seconds double"
 
@@ -26,7 +27,10 @@ def k_sweep(points: DataFrame, known: Mapping[int, float], prove: bool = False,
             r = solver.solve(points, k, restarts, seed, jumps=jumps)
             rows.append((k, float(r.cost), float(r.bound), r.status, time.time() - began))
         else:
-            rows.append((k, float(heuristics.restarts(points, k, restarts, seed, jumps)[3]), 0.0, "heuristic", time.time() - began))
+            cents, cost = moves.restarts(points, k, restarts, seed)
+            if jumps:
+                cost = moves.jump_search(points, k, cents)[1]
+            rows.append((k, float(cost), 0.0, "heuristic", time.time() - began))
     spark = points.sparkSession
     gold = spark.createDataFrame([(k, float(v)) for k, v in known.items()], "k int, known double")
     return spark.createDataFrame(rows, ROW).join(gold, "k").withColumn("gap_pct", gap_pct(F.col("cost"), F.col("known")))
