@@ -45,14 +45,25 @@ SALTS = 64
 _LANG = 7
 
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, piece, n_words, m of the pieces of rows (lang, text), equal ones of a batch once."""
+    for b in batches:
+        text = pc.ascii_lower(pc.fill_null(b.column("text"), ""))  # A-Z only: other bytes stay
+        lists = pc.split_pattern_regex(text, r"[.,;:!?\x0A-\x0D]+")
+        lang, piece = b.column("lang").take(pc.list_parent_indices(lists)), lists.flatten()
+        if pc.any(pc.match_substring_regex(piece, r"\t|  ")).as_py():
+            piece = pc.replace_substring_regex(piece, r"[ \t]+", " ")
+        piece = pc.ascii_trim(piece, " ")
+        found = pa.table({"lang": lang, "piece": piece}).filter(pc.not_equal(piece, "")).group_by(["lang", "piece"], use_threads=False).aggregate([([], "count_all")])
+        for part in found.combine_chunks().to_batches():
+            n = pc.add(pc.count_substring(part.column("piece"), " "), 1).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("piece"), n, part.column("count_all")], ["lang", "piece", "n_words", "m"])
+
+
 def pieces(docs: DataFrame) -> DataFrame:
     """lang, piece, n_words, m: the distinct pieces of docs(text, lang), words joined by blanks, and how often each occurs."""
-    parts = F.split(F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER), r"[.,;:!?\x0A-\x0D]+")
-    rows = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.explode(parts).alias("piece"))
-    bare = F.btrim(F.regexp_replace("piece", r"[\x20\x09]+", " "), F.lit(" "))
-    rows = rows.select("lang", bare.alias("piece")).where("piece <> ''")
-    distinct = rows.groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("m"))
-    return distinct.withColumn("n_words", (F.char_length("piece") - F.char_length(F.replace("piece", F.lit(" "), F.lit(""))) + 1).cast("long"))
+    rows = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), "text").mapInArrow(_split, "lang string, piece string, n_words long, m long")
+    return rows.groupBy("lang", "piece").agg(F.min("n_words").alias("n_words"), F.sum("m").alias("m"))
 
 
 def _spans(x: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
