@@ -36,6 +36,8 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words that a task numbers at a time, about.
 CHUNK = 1 << 20
+#: Texts that a task splits at a time.
+ROWS = 1 << 11
 #: Bits of the filter, and of each block in which it is put together.
 BITS, BLOCK = 1 << 25, 1 << 15
 #: Memory of duckdb in a task; beyond it, it uses its file.
@@ -46,8 +48,8 @@ _LANG = 7
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, piece, n_words, m of the pieces of rows (lang, text), equal ones of a batch once."""
-    for b in batches:
+    """lang, piece, n_words, m of the pieces of rows (lang, text), equal ones of ROWS rows once."""
+    for b in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
         text = pc.ascii_lower(pc.fill_null(b.column("text"), ""))  # A-Z only: other bytes stay
         lists = pc.split_pattern_regex(text, r"[.,;:!?\x0A-\x0D]+")
         lang, piece = b.column("lang").take(pc.list_parent_indices(lists)), lists.flatten()
