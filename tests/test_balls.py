@@ -75,3 +75,25 @@ def test_one_huge_disc_and_many_equal_points(spark, monkeypatch):
 def test_no_discs(spark):
     empty = discs(spark, np.zeros((1, 2)), [1.0]).limit(0)
     assert graph.edges(empty.withColumn("lam", F.col("r"))).count() == 0
+
+
+def test_a_member_is_sent_once_for_a_block_that_it_may_meet(spark, monkeypatch):
+    monkeypatch.setattr(balls, "LEAF", 8)
+    monkeypatch.setattr(balls, "BLOCK", 128)
+    x = np.random.default_rng(3).normal(size=(600, 12))
+    d = discs(spark, x, np.full(600, 8.0))  # every leaf may meet every other
+    members, cells = balls.tree(d)
+    pairs = balls.leaf_pairs(cells)
+    leaves = cells.where("leaf").count()
+    assert pairs.count() == leaves * (leaves + 1) / 2
+    blocks = members.select("block").distinct().count()
+    rows = balls.tiles(members, pairs)
+    assert rows.count() == 600 * blocks and blocks < leaves / 4
+    assert rows.select("tile").distinct().count() == blocks * (blocks + 1) / 2
+    assert {(e["src"], e["dst"]) for e in graph.edges(d.withColumn("lam", F.col("r") ** 2)).collect()} == plain(x, np.full(600, 8.0))
+
+
+def test_pairs_of_leaves_are_not_broadcast(spark):
+    members, cells = balls.tree(discs(spark, np.random.default_rng(4).normal(size=(600, 3)), np.full(600, 1.0)))
+    plan = balls.tiles(members, balls.leaf_pairs(cells))._jdf.queryExecution().executedPlan().toString()
+    assert next(w for w in plan.split() if w.endswith("Join")) == "SortMergeJoin"
