@@ -284,3 +284,14 @@ def test_duals_kept_in_a_box():
     assert (tight.lam >= free.lam + 0.5 - 1e-9).all() and (tight.lam <= free.lam + 0.7 + 1e-9).all()
     least = float((cost - member @ tight.lam).min())
     assert tight.objective == pytest.approx(lp.certified_bound(tight.lam, 2, least)) and tight.objective < free.objective
+
+
+def test_the_proof_does_not_depend_on_the_unit_of_the_points(spark):
+    """Costs far below the tolerances: the one start given is not the best partition."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(9, 3)) * 1e-4
+    best = min(heuristics.cost_of(x, np.array(t)) for t in itertools.product(range(3), repeat=9))
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id long, features array<double>")
+    poor = next(s for s in range(100) if heuristics.lloyd(x, heuristics.seeds(x, 3, np.random.default_rng(s)))[0] > 1.02 * best)
+    found = solver.solve(df, 3, 1, seed=poor, jumps=False)
+    assert found.cost == pytest.approx(best, rel=1e-9, abs=0) and found.bound == pytest.approx(best, rel=1e-4, abs=0) and found.status == "optimal"
