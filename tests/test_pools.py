@@ -108,6 +108,30 @@ def test_coverage_patch_is_the_greedy_cover(spark):
         assert {r["id"] for r in uncovered.collect()} == left
 
 
+def stepwise(sets, left):
+    """col_id: step of the greedy cover, a step at a time."""
+    out, step = {}, 0
+    while gain := max((len(s & left) for s in sets), default=0):
+        at = [k for k, s in enumerate(sets) if len(s & left) == gain]
+        now = [k for k in at if all(j >= k or not sets[j] & sets[k] & left for j in at)]
+        out |= dict.fromkeys(now, step)
+        left, step = left - set().union(*(sets[k] for k in now)), step + 1
+    return out
+
+
+@pytest.mark.parametrize("held", [1 << 18, 40])
+def test_cover_of_a_long_chain_takes_few_passes(spark, monkeypatch, held):
+    """Columns that overlap in a chain take a step each, but not a pass each; in blocks too."""
+    writes = []
+    real = columns.kept
+    monkeypatch.setattr(columns, "HELD", held)
+    monkeypatch.setattr(columns, "kept", lambda df: writes.append(1) or real(df))
+    sets = [set(range(2 * k, 2 * k + 3)) for k in range(60)]
+    patch, uncovered = columns.coverage_patch(pool(spark, sets), ids(spark, 123))
+    assert {r["col_id"]: r["step"] for r in patch.collect()} == stepwise(sets, set(range(121)))
+    assert {r["id"] for r in uncovered.collect()} == {121, 122} and len(writes) < 40
+
+
 def test_column_pairs_equal_all_pairs(spark):
     for seed in range(4):
         rng = random.Random(seed)
