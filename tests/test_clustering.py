@@ -103,6 +103,18 @@ def test_distributed_and_local_steps_agree(spark):
     assert cost == pytest.approx(heuristics.lloyd(x, x[:4])[0])
 
 
+def test_passes_over_packed_points_read_no_lists(spark, monkeypatch):
+    x = np.random.default_rng(7).normal(size=(50, 3))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "id long, features array<double>").repartition(3)
+    monkeypatch.setattr(heuristics, "BLOCK", 10 * 3 * 8)
+    blocks = heuristics.packed(df)
+    held = np.concatenate([np.frombuffer(r["x"]).reshape(r["n"], 3) for r in blocks.collect()])
+    assert sorted(map(tuple, held)) == sorted(map(tuple, x)) and blocks.agg({"n": "max"}).first()[0] <= 10
+    blocks.unpersist()
+    cents, cost = heuristics.kmeans(df, 4)
+    assert cost == pytest.approx(heuristics.lloyd(x, x[:4])[0]) and cents.count() == 4
+
+
 def test_jump_search_ends_where_no_screened_jump_helps():
     x = np.random.default_rng(0).normal(size=(100, 16))
     cost, labels, c = heuristics.local_search(x, x[:5])
