@@ -132,6 +132,19 @@ def test_cover_of_a_long_chain_takes_few_passes(spark, monkeypatch, held):
     assert {r["id"] for r in uncovered.collect()} == {121, 122} and len(writes) < 40
 
 
+@pytest.mark.parametrize("block", [512, 2])
+def test_pairs_within_columns_are_not_added_up_one_by_one(spark, monkeypatch, block):
+    monkeypatch.setattr(columns, "BLOCK", block)
+    rng = random.Random(block)
+    sets = [set(rng.sample(range(14), rng.randint(0, 9))) for _ in range(5)] + [set(range(8))]
+    cols = spark.createDataFrame([(k, sorted(s), (k % 3) / 4) for k, s in enumerate(sets)], "col_id long, members array<long>, z double")
+    got = columns.cooccurrence(cols)
+    want = {(a, b): f for a, b in itertools.combinations(range(14), 2) if (f := sum((k % 3) / 4 for k, s in enumerate(sets) if {a, b} <= s))}
+    rows = got.collect()
+    assert {(r["a"], r["b"]): r["frac"] for r in rows} == pytest.approx(want) and len(rows) == len(want)
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_column_pairs_equal_all_pairs(spark):
     for seed in range(4):
         rng = random.Random(seed)
