@@ -8,9 +8,11 @@ that it has more than e empty ones, under those), so linked sets always share a
 many documents share fills no segment by itself.
 
 Sets joined by files, at any remove, form a cluster: links stay within clusters. The texts of a cluster meet in
-one task where they are few. Larger clusters are cut into blocks of one band of sizes and a bounded number of
-shingles, and each pair of blocks of the same or neighbouring bands meets in a task of its own. There, bitmaps
-of parities are compared whole arrays at a time: each bit that differs stands for an element that only one
+one task where they are few. Larger clusters, which passages that many documents share chain together, are first
+taken apart: bitmaps of parities, about a bit for each shingle, meet without texts in large blocks, and sets
+that these don't keep apart, at any remove, form the clusters in place of the larger one. Clusters that are still large are cut into blocks of one band of sizes and a bounded number of
+shingles, and each pair of blocks of the same or neighbouring bands meets in a task of its own. Bitmaps
+are compared whole arrays at a time: each bit that differs stands for an element that only one
 set has, which bounds the overlap from above. What remains is decided by the exact intersection of the sorted
 arrays, but for pairs that links found before already join. So no pairs are emitted but links, fewer than a
 task has sets, and no link between components is lost.
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clustrel.llm import hashing
@@ -37,6 +39,8 @@ from clustrel.llm.components import components
 #: Most sets and shingles of a block; a task holds two blocks.
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 1 << 21
 BITS = 2048
+#: The same of blocks of which only bitmaps are sent.
+ROUGH_SETS, ROUGH_SHINGLES = 1 << 14, 1 << 27
 _SALT, _TILE, _EMPTY = (np.uint64(x) for x in (0xA0761D6478BD642F, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
 
@@ -99,19 +103,24 @@ def in_common(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]
     return len({*zip(*(h.tolist() for h in x), strict=True)} & {*zip(*(h.tolist() for h in y), strict=True)})
 
 
-def bitmap(x: np.ndarray) -> bytes:
-    """For each of BITS places, the parity of the number of elements there."""
-    return np.packbits(np.bincount((x & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
+def bitmap(x: np.ndarray, bits: int = BITS) -> bytes:
+    """For each of so many places, a power of two, the parity of the number of elements there."""
+    return np.packbits(np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def rough(x: np.ndarray) -> bytes:
+    """The bitmap of a set of at least as many places as elements, 256 at least."""
+    return bitmap(x, max(256, 1 << (len(x) - 1).bit_length()))
 
 
 def filed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, c1, c2, keys of every row; keys are left out where the task has had the same set before."""
+    """doc_id, n, c1, c2, keys, bits of every row; keys and bits are left out where the task has had the same set before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiles, seen = Tiles(num, den), set()
         for b in batches:
             ids = b.column("doc_id").to_pylist()
-            n, c1, c2, keys = [], [], [], []
+            n, c1, c2, keys, bits = [], [], [], [], []
             for doc, t in zip(ids, b.column("text"), strict=True):
                 text = (t.as_py() or "").encode("utf-8", "surrogatepass")
                 x, y = hashing.shingles(text, k)
@@ -121,13 +130,14 @@ def filed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 c2.append(c[1])
                 new = len(x) > 0 and doc is not None and c not in seen
                 keys.append(tiles.files(x).view(np.int64) if new else np.zeros(0, np.int64))
+                bits.append(rough(x) if new else None)
                 if new:
                     seen.add(c)
             offsets = pa.array(np.append(0, np.cumsum([len(x) for x in keys])).astype(np.int32))
             held = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), held], ["doc_id", "n", "c1", "c2", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), held, pa.array(bits, pa.binary())], ["doc_id", "n", "c1", "c2", "keys", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, c1 long, c2 long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, c1 long, c2 long, keys array<long>, bits binary")
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,16 +205,20 @@ def _link(one: _Sets, two: _Sets | None, num: int, den: int) -> Iterator[tuple[i
                 yield one.ids[i], other.ids[j]
 
 
-def _tiles(members: DataFrame, num: int, den: int) -> DataFrame:
+def _parts(sets: Column, shingles: Column, most: tuple[int, int]) -> Column:
+    """How many blocks, of at most so many sets and shingles, some sets and shingles take."""
+    return F.greatest(F.ceil(sets / most[0]), F.ceil(shingles / most[1])).cast("int")
+
+
+def _tiles(members: DataFrame, num: int, den: int, most: tuple[int, int]) -> DataFrame:
     """members(cluster, rep, w1, w2, n) with the tiles in which each is needed: tile, and block, its place there."""
     shape = Tiles(num, den)
     shape.reach(1 << 40)
     band = F.size(F.filter(F.array(*(F.lit(x).cast("long") for x in shape.starts)), lambda x: x <= F.col("n")))
     members = members.withColumn("band", band)
-    parts = lambda sets, shingles: F.greatest(F.ceil(sets / BLOCK_SETS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
     per = members.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
-    per = per.withColumn("parts", parts(F.col("sets"), F.col("shingles")))
-    per = per.groupBy("cluster").agg(parts(F.sum("sets"), F.sum("shingles")).alias("all"), F.map_from_entries(F.collect_list(F.struct("band", "parts"))).alias("by_band"))
+    per = per.withColumn("parts", _parts(F.col("sets"), F.col("shingles"), most))
+    per = per.groupBy("cluster").agg(_parts(F.sum("sets"), F.sum("shingles"), most).alias("all"), F.map_from_entries(F.collect_list(F.struct("band", "parts"))).alias("by_band"))
     x = members.join(per, "cluster")
     block = lambda b, p: F.format_string("%03d.%09d", b, p)
     mine = F.pmod(F.xxhash64("rep"), F.element_at("by_band", F.col("band"))).cast("int")
@@ -214,7 +228,76 @@ def _tiles(members: DataFrame, num: int, den: int) -> DataFrame:
     ).otherwise(F.array().cast("array<string>"))))
     pair = lambda o: F.concat_ws("/", F.col("cluster").cast("string"), F.least("block", o), F.greatest("block", o))
     tiles = F.when(F.col("all") == 1, F.array(F.col("cluster").cast("string"))).otherwise(F.transform(near, pair))
-    return x.select("rep", "w1", "w2", "block", F.explode(tiles).alias("tile"))
+    return x.select("rep", "w1", "w2", "n", "block", F.explode(tiles).alias("tile"))
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (set, words) of fewer words, a power of two less."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def _near(n: np.ndarray, held: list[bytes], block: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Pairs of places, of sets of sizes n, that join what bitmaps don't keep apart: those of two blocks, or all if there is one."""
+    label = np.arange(len(n))
+    groups = []  # by block and length of bitmap, sizes ascending
+    length = np.array([len(x) for x in held])
+    for b, w in sorted(set(zip(block.tolist(), length.tolist(), strict=True))):
+        at = np.flatnonzero((block == b) & (length == w))
+        at = at[np.argsort(n[at], kind="stable")]
+        groups.append((b, at, np.frombuffer(b"".join(held[i] for i in at.tolist()), np.uint64).reshape(len(at), w // 8)))
+    two = len({g[0] for g in groups}) > 1
+    for g, (b, one, x) in enumerate(groups):
+        for c, other, y in groups[g:]:
+            if two and b == c:
+                continue
+            words = min(x.shape[1], y.shape[1])
+            p, q, sizes = _folded(x, words), _folded(y, words), n[other]
+            lows = np.searchsorted(sizes, -(-num * n[one] // den)).tolist()
+            highs = np.searchsorted(sizes, den * n[one] // num, side="right").tolist()
+            for i, (lo, hi) in enumerate(zip(lows, highs, strict=True)):
+                lo = max(lo, i + 1) if other is one else lo
+                if lo >= hi:
+                    continue
+                m = sizes[lo:hi] + n[one[i]]
+                most = (m - np.bitwise_count(q[lo:hi] ^ p[i]).sum(axis=1, dtype=np.int64)) // 2
+                near = other[np.flatnonzero(den * most >= num * (m - most)) + lo]
+                while len(near := near[label[near] != label[one[i]]]):
+                    yield one[i], near[0]
+                    label[label == label[near[0]]] = label[one[i]]
+
+
+def _apart(members: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """members of the clusters of more than a block taken apart: cluster is that of the sets which their bitmaps, from rows(c1, c2, bits), join; sets joined with none are left out."""
+    tiles = stored(_tiles(members, num, den, (ROUGH_SETS, ROUGH_SHINGLES)), "rough")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, []
+
+        def close() -> pa.RecordBatch:
+            _, block, w1, n, bits = zip(*held, strict=True) if held else [()] * 5
+            names = {b: k for k, b in enumerate(sorted(set(block)))}
+            pairs = list(_near(np.array(n, np.int64), bits, np.array([names[b] for b in block], np.int64), num, den)) if held else []
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w1[x[s]] for x in pairs], pa.int64()) for s in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != tile and held:
+                    yield close()
+                tile = row[0]
+                held.append(row)
+        yield close()
+
+    bits = rows.where("bits is not null").select("c1", "c2", "bits")
+    one = bits.join(members.select(F.col("w1").alias("c1"), F.col("w2").alias("c2")), ["c1", "c2"]).dropDuplicates(["c1", "c2"])
+    sent = tiles.hint("merge").join(one, (F.col("w1") == F.col("c1")) & (F.col("w2") == F.col("c2"))).select("tile", "block", "w1", "n", "bits")
+    near = sent.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+    found = components(near)
+    forget(tiles)
+    return members.drop("cluster").join(found, F.col("w1") == F.col("node")).select(F.col("component").alias("cluster"), "rep", "w1", "w2", "n")
 
 
 def _compared(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -253,7 +336,16 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     clusters = components(stars)
     members = classes.join(clusters, F.col("c1") == F.col("node")).select(F.col("component").alias("cluster"), "rep", F.col("c1").alias("w1"), F.col("c2").alias("w2"), "n")
     members = stored(members, "members")
-    tiles = stored(_tiles(members, num, den), "tiles")
+    block = BLOCK_SETS, BLOCK_SHINGLES
+    sizes = members.groupBy("cluster").agg(_parts(F.count(F.lit(1)), F.sum("n"), block).alias("all"))
+    large = stored(members.join(sizes.where("all > 1").select("cluster"), "cluster"), "large")
+    if not large.isEmpty():
+        small = members.join(sizes.where("all = 1").select("cluster"), "cluster", "left_semi")
+        both, old = stored(small.unionByName(_apart(large, rows, num, den)), "members"), members
+        forget(old)
+        members = both
+    forget(large)
+    tiles = stored(_tiles(members, num, den, block), "tiles")
     links = stored(_compared(docs.join(tiles.hint("merge"), F.col("doc_id") == F.col("rep")), k, num, den), "links")
     forget(members)
     forget(tiles)

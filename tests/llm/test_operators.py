@@ -82,6 +82,42 @@ def test_join_equals_all_pairs(docs, rows, monkeypatch, k, num, den, block):
     assert len(set(want.values())) < len(want) - 20
 
 
+@pytest.mark.parametrize("rough,num,den", [(1 << 14, 85, 100), (7, 85, 100), (7, 2, 5)])
+def test_clusters_chained_by_shared_passages_send_texts_once(spark, monkeypatch, rough, num, den):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared = " ".join(word() for _ in range(14))
+    texts = [" ".join([*(word() for _ in range(rng.randint(9, 40))), shared]) for _ in range(150)]
+    texts += [t + " " + word() for t in texts[:20]] + texts[:3]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    sent, compared = [], jaccard_join._compared
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 4)
+    monkeypatch.setattr(jaccard_join, "ROUGH_SETS", rough)
+    monkeypatch.setattr(jaccard_join, "_compared", lambda d, *a: sent.append(d.count()) or compared(d, *a))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(spark.createDataFrame(rows, H.SCHEMA).repartition(3), 4, num, den).collect()}
+    assert got == H.components(rows, 4, num, den)[0]
+    assert den == 5 or 0 < sent[0] <= 80  # of 150 texts chained together each went to several tasks
+
+
+def test_bitmaps_keep_no_linked_sets_apart():
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (3, 200, 255, 257, 300, 510, 514, 2000):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        sets += [x, np.unique(np.append(x[: n - n // 12], rng.integers(0, 1 << 63, n // 12).astype(np.uint64))), x[: n - n // 8]]
+    sizes = np.array([len(x) for x in sets])
+    for block in (np.zeros(len(sets), int), np.arange(len(sets)) % 2):
+        root = list(range(len(sets)))
+        for i, j in jaccard_join._near(sizes, [jaccard_join.rough(x) for x in sets], block, 4, 5):
+            root = [root[i] if r == root[j] else r for r in root]
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                both = len(np.intersect1d(x, y))
+                if 5 * both >= 4 * (len(x) + len(y) - both) and (not block.any() or block[i] != block[j]):
+                    assert root[i] == root[j]
+        assert len(set(root)) >= 8
+
+
 def test_linked_sets_always_share_a_file():
     rng = np.random.default_rng(0)
     tiles = jaccard_join.Tiles(85, 100)
